@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphlane.llm.common import table
+from graphlane.llm.bpe import encode_and_decode
+from graphlane.llm.common import bucket_of, table
+from graphlane.llm.decontam import contamination
 from graphlane.llm.exact_dedup import exact_dedup
+from graphlane.llm.langid import identify
+from graphlane.llm.quality import quality_scores
 from graphlane.llm.sharding import consistent_shards
 
 
@@ -15,11 +20,32 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = bucket_of("doc_id", 4) == 2
+    found = identify(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = bucket_of("doc_id", 3) == 1
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_scores(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistent_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_dedup, op8_sharding)}
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_decode(table(spark, sf_dir, "documents"), digests=True)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_dedup, op3_language_id, op4_quality, op6_decontamination, op8_sharding, op9_bpe)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": r"""
