@@ -1,35 +1,13 @@
-"""Shared folder, written tables and small column helpers of the corpus operators."""
+"""Small helpers of the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphlane.plans.tables import shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            base = current.get()
-        else:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="graphlane-")
-            spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage, outlives executors and is computed once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.options(compression="zstd", **options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["bucket_of", "shared_dir", "table", "text_or_empty", "type_of", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,10 +12,15 @@ from graphlane.llm.common import bucket_of, table
 from graphlane.llm.decontam import contamination
 from graphlane.llm.exact_dedup import exact_dedup
 from graphlane.llm.langid import identify
+from graphlane.llm.minhash import near_duplicates
 from graphlane.llm.quality import quality_scores
 from graphlane.llm.sharding import consistent_shards
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -45,7 +50,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(table(spark, sf_dir, "documents"), digests=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_dedup, op3_language_id, op4_quality, op6_decontamination, op8_sharding, op9_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op3_language_id, op4_quality, op6_decontamination, op8_sharding, op9_bpe)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": r"""
