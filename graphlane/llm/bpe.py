@@ -43,6 +43,18 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
 
+def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
+    """Ranks by falling frequency: a byte for the first 255, an escape and a packed rest for others."""
+    small = zstandard.ZstdCompressor(level=3).compress(np.minimum(ranks, 255).astype(np.uint8).tobytes())
+    return small, pack(ranks[ranks >= 255] - 255)
+
+
+def unpack_ranks(small: bytes, large: bytes) -> np.ndarray:
+    ranks = np.frombuffer(zstandard.ZstdDecompressor().decompress(small), np.uint8).astype(np.uint32)
+    ranks[ranks == 255] = unpack(large) + 255
+    return ranks
+
+
 class Vocabulary:
     """A tokenizer file of the byte-level kind: splitting, encoding of words, pieces by id."""
 
@@ -103,18 +115,19 @@ def _chunk(task: int, number: int, ids: list, docs: list[np.ndarray], words: dic
     flat = np.concatenate([np.zeros(0, np.uint32), *docs])
     names = list(words)
     order = np.argsort(-np.bincount(flat, minlength=len(names)), kind="stable")
-    rank = np.empty(len(names), np.uint32)
-    rank[order] = np.arange(len(names), dtype=np.uint32)
+    rank = np.zeros(max(len(names), 1), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
     coded = [names[i].encode() for i in order.tolist()]
     bucket = np.fromiter((zlib.crc32(w) % buckets for w in coded), np.uint32, len(coded))
     by = np.argsort(bucket, kind="stable")
     ends = np.flatnonzero(np.diff(bucket[by], append=buckets)) + 1
+    small, large = pack_ranks(rank[flat])
     packed, start, press = [], 0, zstandard.ZstdCompressor(level=3)
     for end in ends.tolist():
         own = [coded[i] for i in by[start:end].tolist()]
         packed.append({"bucket": int(bucket[by[start]]), "lens": pack(np.fromiter(map(len, own), np.uint32, len(own))), "words": press.compress(b"".join(own))})
         start = end
-    return {"chunk": task << 32 | number, "ids": ids, "n_words": [len(d) for d in docs], "idx": pack(rank[flat] if len(flat) else flat), "buckets": pack(bucket), "packed": packed}
+    return {"chunk": task << 32 | number, "ids": ids, "n_words": [len(d) for d in docs], "idx": small, "rare": large, "buckets": pack(bucket), "packed": packed}
 
 
 def _split(batches: Iterator[pa.RecordBatch], source: str, schema: pa.Schema, buckets: int, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -162,7 +175,7 @@ def _assemble(batches: Iterator[pa.RecordBatch], source: str, digests: bool, sch
     for batch in batches:
         for row in range(batch.num_rows):
             x = batch.slice(row, 1).to_pylist()[0]
-            bucket, idx = unpack(x["buckets"]), unpack(x["idx"])
+            bucket, idx = unpack(x["buckets"]), unpack_ranks(x["idx"], x["rare"])
             parts = sorted(x["parts"] or [], key=lambda p: p["bucket"])
             lens = np.concatenate([np.zeros(0, np.uint32), *(unpack(p["n_ids"]) for p in parts)]).astype(np.int64)
             flat = np.concatenate([np.zeros(0, np.uint32), *(unpack(p["word_ids"]) for p in parts)])
@@ -202,7 +215,7 @@ def encode_and_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
         source = spark.sparkContext.broadcast(f.read())
     buckets, kind = int(spark.conf.get("spark.sql.shuffle.partitions")), type_of(df, id_col)
-    head = f"chunk long, ids array<{kind}>, n_words array<int>, idx binary, buckets binary, packed array<struct<bucket: int, lens: binary, words: binary>>"
+    head = f"chunk long, ids array<{kind}>, n_words array<int>, idx binary, rare binary, buckets binary, packed array<struct<bucket: int, lens: binary, words: binary>>"
     schema = to_arrow_schema(StructType.fromDDL(head))
     chunks = written(df.select(F.col(id_col), F.col(text_col)).mapInArrow(lambda it: _split(it, source.value, schema, buckets, chunk_bytes), head), "bpe-chunks", **{"parquet.block.size": str(32 << 20)})
     words = chunks.select("chunk", F.explode("packed").alias("p")).select("chunk", "p.*").repartition("bucket")
@@ -210,5 +223,5 @@ def encode_and_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = coded.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n_ids", "word_ids")).alias("parts"))
     out = f"`{id_col}` {kind}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
     result = to_arrow_schema(StructType.fromDDL(out))
-    joined = chunks.select("chunk", "ids", "n_words", "idx", "buckets").join(parts, "chunk", "left")
+    joined = chunks.select("chunk", "ids", "n_words", "idx", "rare", "buckets").join(parts, "chunk", "left")
     return joined.mapInArrow(lambda it: _assemble(it, source.value, digests, result), out)
