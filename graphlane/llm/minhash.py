@@ -29,6 +29,7 @@ from graphlane.plans.components import components
 K, ELL, M = 5, 2, 16
 SIMILARITY = 0.8
 FIRST_BANDS = 4
+REACH = 2
 FOLLOW = 3  # sketches after its own that a band sorts by
 words_of = re.compile(r"[^\W_]+").findall
 _SEEDS = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -146,8 +147,8 @@ def _sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return written(rows.mapInArrow(sketch, out), "omh-sketch")
 
 
-def _neighbours(reps: DataFrame, bands: range) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of texts that stand side by side in a band and share its sketch."""
+def _neighbours(reps: DataFrame, bands: range, reach: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of texts at most reach places apart in a band that share its sketch."""
     order = ["band", *(f"s{j}" for j in range(FOLLOW + 1)), "key"]
     rows = reps.select("key", "sketch", F.explode(F.array(*[F.lit(b) for b in bands])).alias("band"))
     rows = rows.select("band", *[F.element_at("sketch", ((F.col("band") + j) % M + 1).cast("int")).alias(f"s{j}") for j in range(FOLLOW + 1)], "key")
@@ -166,14 +167,22 @@ def _neighbours(reps: DataFrame, bands: range) -> DataFrame:
             band, s0, key = (np.asarray(batch.column(i)) for i in (0, 1, FOLLOW + 2))
             if last is None:
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((band[0], s0[0], 2 * task, key[0], None), kinds, strict=True)], names)
+                old = 0
             else:
-                band, s0, key = (np.concatenate([[x], y]) for x, y in zip(last, (band, s0, key), strict=True))
-            same = np.flatnonzero((band[1:] == band[:-1]) & (s0[1:] == s0[:-1]))
-            none = pa.nulls(len(same))
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(key[same], pa.int64()), pa.array(key[same + 1], pa.int64())], names)
-            last = band[-1], s0[-1], key[-1]
+                old = len(last[0])
+                band, s0, key = (np.concatenate([x, y]) for x, y in zip(last, (band, s0, key), strict=True))
+            a, b = [], []
+            for r in range(1, reach + 1):
+                same = np.flatnonzero((band[r:] == band[:-r]) & (s0[r:] == s0[:-r]))
+                same = same[same + r >= old]
+                a.append(key[same])
+                b.append(key[same + r])
+            left, right = np.concatenate(a), np.concatenate(b)
+            none = pa.nulls(len(left))
+            yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(left, pa.int64()), pa.array(right, pa.int64())], names)
+            last = band[-reach:], s0[-reach:], key[-reach:]
         if last is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((last[0], last[1], 2 * task + 1, last[2], None), kinds, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((last[0][-1], last[1][-1], 2 * task + 1, last[2][-1], None), kinds, strict=True)], names)
 
     found = written(ordered.mapInArrow(chain, "band int, s0 long, place long, a long, b long"), "omh-neighbours")
     # where partitions meet: two rows for each partition, whatever the number of rows
@@ -208,7 +217,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, similarity: float) -> tu
     order = F.struct(F.col("gl_id").isNull().alias("no_id"), F.col("gl_id").alias("id"), F.col("gl_key").alias("key"))
     reps = rows.where("gl_digest is not null").groupBy("gl_digest").agg(F.min(order).alias("best"), F.count("*").alias("n"), F.any_value("gl_sketch").alias("sketch"))
     reps = written(reps.select("gl_digest", "best", "n", "sketch", F.col("best.key").alias("key")), "omh-texts")
-    first, rest = written(_neighbours(reps, range(FIRST_BANDS)), "omh-pairs"), written(_neighbours(reps, range(FIRST_BANDS, M)), "omh-pairs")
+    first, rest = written(_neighbours(reps, range(FIRST_BANDS), 1), "omh-pairs"), written(_neighbours(reps, range(M), REACH), "omh-pairs")
     needed = first.unionByName(rest).select(F.explode(F.array("a", "b")).alias("key")).distinct()
     texts = written(rows.select(F.col("gl_key").alias("key"), text_or_empty(f"gl_rec.{text_col}").alias("text")).join(needed, "key", "left_semi"), "omh-candidates")
     links = _verified(first, texts, similarity)

@@ -15,6 +15,7 @@ from graphlane.llm.langid import identify
 from graphlane.llm.minhash import near_duplicates
 from graphlane.llm.quality import quality_scores
 from graphlane.llm.sharding import consistent_shards
+from graphlane.llm.suffix_dedup import substring_dedup
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +51,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(table(spark, sf_dir, "documents"), digests=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op3_language_id, op4_quality, op6_decontamination, op8_sharding, op9_bpe)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op3_language_id, op4_quality, op6_decontamination, op8_sharding, op9_bpe, op10_suffix_dedup)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": r"""
