@@ -44,7 +44,7 @@ def order_minhash(h: np.ndarray, k: int = K) -> np.ndarray:
         start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         label = np.arange(len(g)) - np.repeat(start, np.diff(np.append(start, len(g))))
         g = g.copy()
-        g[by] = mix(ordered + label.astype(np.uint64) * np.uint64(BASE))
+        g[by] = np.where(label == 0, ordered, mix(ordered + label.astype(np.uint64) * np.uint64(BASE)))
     x = g[None, :] * _SEEDS[:, None]
     x ^= x >> np.uint64(31)
     x *= np.uint64(0xD6E8FEB86659FD93)
