@@ -147,11 +147,11 @@ def _sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return written(rows.mapInArrow(sketch, out), "omh-sketch")
 
 
-def _neighbours(reps: DataFrame, bands: range, reach: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of texts at most reach places apart in a band that share its sketch."""
+def neighbours(banded: DataFrame, m: int, reach: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of texts at most reach places apart in a band that share its sketch; banded: key,
+    sketch (m values) and band."""
     order = ["band", *(f"s{j}" for j in range(FOLLOW + 1)), "key"]
-    rows = reps.select("key", "sketch", F.explode(F.array(*[F.lit(b) for b in bands])).alias("band"))
-    rows = rows.select("band", *[F.element_at("sketch", ((F.col("band") + j) % M + 1).cast("int")).alias(f"s{j}") for j in range(FOLLOW + 1)], "key")
+    rows = banded.select(F.col("band").cast("int").alias("band"), *[F.element_at("sketch", ((F.col("band") + j) % m + 1).cast("int")).alias(f"s{j}") for j in range(FOLLOW + 1)], "key")
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,6 +193,10 @@ def _neighbours(reps: DataFrame, bands: range, reach: int) -> DataFrame:
     return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _banded_rows(reps: DataFrame, bands: int) -> DataFrame:
+    return reps.select("key", "sketch", F.explode(F.array(*[F.lit(b) for b in range(bands)])).alias("band"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose texts are similar."""
     left, right = texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
@@ -217,7 +221,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, similarity: float) -> tu
     order = F.struct(F.col("gl_id").isNull().alias("no_id"), F.col("gl_id").alias("id"), F.col("gl_key").alias("key"))
     reps = rows.where("gl_digest is not null").groupBy("gl_digest").agg(F.min(order).alias("best"), F.count("*").alias("n"), F.any_value("gl_sketch").alias("sketch"))
     reps = written(reps.select("gl_digest", "best", "n", "sketch", F.col("best.key").alias("key")), "omh-texts")
-    first, rest = written(_neighbours(reps, range(FIRST_BANDS), 1), "omh-pairs"), written(_neighbours(reps, range(M), REACH), "omh-pairs")
+    first, rest = written(neighbours(_banded_rows(reps, FIRST_BANDS), M, 1), "omh-pairs"), written(neighbours(_banded_rows(reps, M), M, REACH), "omh-pairs")
     needed = first.unionByName(rest).select(F.explode(F.array("a", "b")).alias("key")).distinct()
     texts = written(rows.select(F.col("gl_key").alias("key"), text_or_empty(f"gl_rec.{text_col}").alias("text")).join(needed, "key", "left_semi"), "omh-candidates")
     links = _verified(first, texts, similarity)

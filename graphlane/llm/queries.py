@@ -12,7 +12,9 @@ from graphlane.llm.common import bucket_of, table
 from graphlane.llm.decontam import contamination
 from graphlane.llm.exact_dedup import exact_dedup
 from graphlane.llm.langid import identify
+from graphlane.llm.licenses import license_scan
 from graphlane.llm.minhash import near_duplicates
+from graphlane.llm.paragraphs import repeated_paragraphs
 from graphlane.llm.quality import quality_scores
 from graphlane.llm.sharding import consistent_shards
 from graphlane.llm.suffix_dedup import substring_dedup
@@ -39,10 +41,19 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text")
+    return license_scan(docs, "path")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistent_shards(table(spark, sf_dir, "documents"))
 
@@ -55,7 +66,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op3_language_id, op4_quality, op6_decontamination, op8_sharding, op9_bpe, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op3_language_id, op4_quality, op5_paragraph_dedup, op6_decontamination, op7_license_scan, op8_sharding, op9_bpe, op10_suffix_dedup)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": r"""
