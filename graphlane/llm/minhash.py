@@ -200,7 +200,8 @@ def _banded_rows(reps: DataFrame, bands: int) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose texts are similar."""
     left, right = texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    # the candidates grow with the input, so texts are joined in the same way at every size
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,7 +224,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, similarity: float) -> tu
     reps = written(reps.select("gl_digest", "best", "n", "sketch", F.col("best.key").alias("key")), "omh-texts")
     first, rest = written(neighbours(_banded_rows(reps, FIRST_BANDS), M, 1), "omh-pairs"), written(neighbours(_banded_rows(reps, M), M, REACH), "omh-pairs")
     needed = first.unionByName(rest).select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = written(rows.select(F.col("gl_key").alias("key"), text_or_empty(f"gl_rec.{text_col}").alias("text")).join(needed, "key", "left_semi"), "omh-candidates")
+    texts = written(rows.select(F.col("gl_key").alias("key"), text_or_empty(f"gl_rec.{text_col}").alias("text")).join(needed.hint("merge"), "key", "left_semi"), "omh-candidates")
     links = _verified(first, texts, similarity)
     # pairs that the first bands' links connect already need no alignment
     label = written(components(links, "a", "b"), "omh-labels")
