@@ -98,14 +98,15 @@ def repeated_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     colliding = banded.join(met, ["band", "h"], "left_semi").select("key", "band")
     pairs = written(neighbours(colliding.join(reps.select("key", "sketch"), "key"), bands, REACH), "paragraph-pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    words = written(found.select("key", "words").join(needed, "key", "left_semi"), "paragraph-candidates")
+    words = written(found.select("key", "words").join(needed.hint("merge"), "key", "left_semi"), "paragraph-candidates")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = pa.array([jaccard(x.split(), y.split()) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
-    both = pairs.join(words.select(F.col("key").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("key").alias("b"), F.col("words").alias("wb")), "b")
+    # what repeats grows with the input, so texts are joined in the same way at every size
+    both = pairs.join(words.select(F.col("key").alias("a"), F.col("words").alias("wa")).hint("merge"), "a").join(words.select(F.col("key").alias("b"), F.col("words").alias("wb")).hint("merge"), "b")
     links = written(both.select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long"), "paragraph-links")
     label = components(links, "a", "b")
     labelled = written(reps.join(label, reps["key"] == label["id"], "left").select("digest", "best", "times", F.coalesce("label", "key").alias("cluster")), "paragraph-labels")
