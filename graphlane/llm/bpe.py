@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from graphlane.llm.common import type_of, written
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 32 << 20
 GPT2_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
