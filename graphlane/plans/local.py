@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 MOST_ROWS = 5_000_000
 
@@ -18,4 +17,8 @@ def in_one_task(df: DataFrame, func: Callable[[pd.DataFrame], pd.DataFrame], sch
         raise ValueError(f"this algorithm is sequential and takes at most {most} rows")
     if n == 0:
         return df.sparkSession.createDataFrame([], schema)
-    return df.groupBy(F.lit(0)).applyInPandas(func, schema)
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield func(pd.concat(list(batches), ignore_index=True))
+
+    return df.repartition(1).mapInPandas(whole, schema)
