@@ -344,21 +344,29 @@ def traversal_astar_length(t):
 # flow
 
 
+def _ends(g: Graph) -> tuple[int, int]:
+    """The nation of least id, and the one that most lines go to besides."""
+    return 0, g.edges.where("dst != 0").groupBy("dst").agg(F.sum("weight").alias("n")).orderBy(F.desc("n"), "dst").first()["dst"]
+
+
 @on_tables
 def flow_max_flow(t):
-    return run("flow.max_flow", t.trade(), 0, 1)[1].edges
+    g = t.trade()
+    return run("flow.max_flow", g, *_ends(g))[1].edges
 
 
 @on_tables
 def flow_min_cut(t):
-    return run("flow.min_cut", t.trade(), 0, 1)[1].edges
+    g = t.trade()
+    return run("flow.min_cut", g, *_ends(g))[1].edges
 
 
 @on_tables
 def flow_values(t):
     """Of the largest flow and the least cut: their difference is 0."""
     g = t.trade()
-    return one_row(t, run("flow.max_flow", g, 0, 1)[0] - run("flow.min_cut", g, 0, 1)[0], "difference", "double")
+    ends = _ends(g)
+    return one_row(t, run("flow.max_flow", g, *ends)[0] - run("flow.min_cut", g, *ends)[0], "difference", "double")
 
 
 # subgraphs and samples
@@ -525,8 +533,9 @@ def source_round_trip(t):
 
 @on_tables
 def stream_degree(t):
-    """Degrees kept up to date while the events arrive as a stream, as they are at its end."""
-    edges = t.spark.readStream.schema(t.events.schema).parquet(f"{t.dir}/events.parquet").select(F.col("user_id").alias("src"), F.xxhash64("event_type").alias("dst"))
+    """Degrees kept up to date while the events arrive as a stream, as they are at its end. A pattern names the table,
+    as the stream reader takes either a single file or a folder that way."""
+    edges = t.spark.readStream.schema(t.events.schema).parquet(f"{t.dir}/event[s].parquet").select(F.col("user_id").alias("src"), F.xxhash64("event_type").alias("dst"))
     base = f"{shared_dir(t.spark)}/tables/stream-{t.spark.sparkContext.applicationId}-{id(t)}"
     stream = degree_stream(edges).writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     stream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{base}/out")).start().awaitTermination()

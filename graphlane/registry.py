@@ -26,7 +26,7 @@ class Algorithm:
         for name, value in bound.arguments.items():
             said = str(self.signature.parameters[name].annotation)
             kinds = tuple(kind for n, kind in _CHECKED.items() if n in {x.strip() for x in said.split("|")})
-            if kinds and not isinstance(value, kinds) and not (value is None and "None" in said):
+            if kinds and not isinstance(value, kinds) and not (value is None and "None" in said) and not (isinstance(value, list) and "list" in said):
                 raise TypeError(f"{self.path}: {name} must be {said}, not {type(value).__name__}")
             if said == "NodeID" and (isinstance(value, bool) or not isinstance(value, int)):
                 raise TypeError(f"{self.path}: {name} must be a node id (int), not {type(value).__name__}")
