@@ -5,6 +5,11 @@ long as the wanted recall at the threshold asks for. Paragraphs that collide in
 band is sorted; neighbours are verified by the exact Jaccard similarity of their runs, and the components of verified
 links are the clusters. The first occurrence of a cluster stays, the others go. Equal paragraphs are one from the
 start, so copies of a passage cost one comparison however many there are.
+
+Passages also repeat inside longer lines and across lines. There the words choose where paragraphs begin: a word pair
+with the least hash of PICK successive ones begins a window of WINDOW words. Any run of WINDOW + PICK - 1 = 51 words
+holds such a window, wherever it stands, so equal runs of that length meet in equal windows. Overlapping repeated
+windows of a text are one passage, and passages that share a window are one cluster.
 """
 
 from __future__ import annotations
@@ -17,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphlane.llm.common import text_or_empty, type_of, written
-from graphlane.llm.hashing import grams, mix, word_hashes
+from graphlane.llm.hashing import BASE, grams, mix, powers, word_hashes
 from graphlane.llm.minhash import neighbours
 from graphlane.plans.components import components
 
@@ -29,6 +35,8 @@ MIN_WORDS = 40
 RECALL = 0.9995
 MOST_HASHES = 80
 REACH = 2
+WINDOW = 36
+PICK = 16
 words_of = re.compile(r"[^\W_]+").findall
 
 
@@ -58,39 +66,22 @@ def jaccard(a: list[str], b: list[str]) -> float:
     return len(x & y) / len(x | y)
 
 
-def repeated_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row for each occurrence of a paragraph that repeats: id, paragraph (line number from 0), n_words,
-    cluster_id, keep_id, cluster_size, kept.
+def windows(h: np.ndarray, window: int = WINDOW, pick: int = PICK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text's word hashes the places where windows begin, and two independent hashes of each window's words."""
+    pair = grams(h, 2)
+    if len(h) < window or len(pair) < pick:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    around = np.lib.stride_tricks.sliding_window_view(pair, pick)
+    at = np.unique(np.arange(len(around)) + around.argmin(axis=1))
+    at = at[at <= len(h) - window]
+    own = h[at[:, None] + np.arange(window)]
+    first, second = (own * powers(window)).sum(axis=1, dtype=np.uint64), (mix(own) * powers(window, BASE + 2)).sum(axis=1, dtype=np.uint64)
+    return at, mix(first).view(np.int64), (mix(second) >> np.uint64(33)).astype(np.int64)
 
-    Words are runs of letters and digits in lower case; lines of fewer than min_words words are left alone. Repeats
-    within a text count too. The occurrence with the least id (null last), then line, is kept. cluster_id numbers
-    clusters, without gaps or order. Null and empty texts have no paragraphs; rows that repeat an id are told apart by
-    their place in the input; an empty table gives an empty result; other columns are ignored."""
-    bands, rows = tuned_bands(similarity, RECALL)
-    seeds = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    kind = type_of(df, id_col)
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        key, kinds = TaskContext.get().partitionId() << 36, [pa.int64(), None, pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.string()]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part, words, found = batch.slice(at, 1000), {}, []
-                add = words.setdefault
-                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    for line, raw in enumerate(text.split("\n")):
-                        own = words_of(raw.lower()) if len(raw) >= min_words else ()
-                        if len(own) >= min_words:
-                            found.append((key, i, line, own, np.fromiter([add(w, len(words)) for w in own], np.int64, len(own))))
-                            key += 1
-                h = word_hashes([w.encode() for w in words])
-                out = [(k, i, line, len(own), hashlib.blake2b(t.encode(), digest_size=16).digest(), band_hashes(h[x], bands, rows, seeds).view(np.int64), t) for k, i, line, own, x in found for t in (" ".join(own),)]
-                columns = list(zip(*out, strict=True)) or [[]] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, t or batch.schema.field(0).type) for c, t in zip(columns, kinds, strict=True)], ["key", "id", "line", "n_words", "digest", "sketch", "words"])
-
-    texts = df.select(F.col(id_col), text_or_empty(text_col).alias("t"))
-    found = written(texts.mapInArrow(split, f"key long, id {kind}, line int, n_words int, digest binary, sketch array<long>, words string"), "paragraphs")
+def _lines(found: DataFrame, similarity: float, bands: int) -> DataFrame:
+    """Lines that repeat: (id, kind, start, n_words, cluster_id, keep_id, cluster_size, kept)."""
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "line", "key")
     reps = written(found.groupBy("digest").agg(F.min(order).alias("best"), F.count("*").alias("times"), F.any_value("sketch").alias("sketch")).withColumn("key", F.col("best.key")), "paragraph-texts")
     banded = reps.select("key", F.posexplode("sketch").alias("band", "h"))
@@ -112,4 +103,79 @@ def repeated_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     labelled = written(reps.join(label, reps["key"] == label["id"], "left").select("digest", "best", "times", F.coalesce("label", "key").alias("cluster")), "paragraph-labels")
     sizes = written(labelled.groupBy("cluster").agg(F.min("best").alias("first"), F.sum("times").alias("size")).where("size > 1"), "paragraph-sizes")
     members = written(labelled.join(sizes, "cluster").select("digest", "cluster", "first", "size"), "paragraph-members")
-    return found.select("key", "id", "line", "n_words", "digest").join(members, "digest").select(F.col("id").alias(id_col), F.col("line").alias("paragraph"), "n_words", F.col("cluster").alias("cluster_id"), F.col("first.id").alias("keep_id"), F.col("size").alias("cluster_size"), (F.col("first.key") == F.col("key")).alias("kept"))
+    return found.select("key", "id", "line", "n_words", "digest").join(members, "digest").select("id", F.lit("line").alias("kind"), F.col("line").alias("start"), "n_words", F.col("cluster").alias("cluster_id"), F.col("first.id").alias("keep_id"), F.col("size").alias("cluster_size"), (F.col("first.key") == F.col("key")).alias("kept"))
+
+
+def _passages(found: DataFrame) -> DataFrame:
+    """Passages that repeat anywhere, in the same columns. found: key (the number of the text's first window), id, and
+    the places and hashes of its windows."""
+    each = found.select("key", F.posexplode(F.arrays_zip("h", "c")).alias("k", "w")).select("key", "k", "w.h", "w.c")
+    met = written(each.groupBy("h", "c").agg(F.count("*").alias("n")).where("n > 1").select("h", "c"), "passage-windows")
+    shared = written(each.join(met, ["h", "c"], "left_semi"), "passage-shared")
+    placed = written(shared.join(found.select("key", "id", "at"), "key").select("key", "id", "k", "h", "c", F.element_at("at", F.col("k") + 1).alias("at")), "passage-places")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "at")
+    first = written(placed.groupBy("h", "c").agg(F.min(place).alias("first")), "passage-first")
+    marked = written(placed.join(first, ["h", "c"]).select("key", "id", "k", "h", "c", "at", ((F.col("first.key") == F.col("key")) & (F.col("first.at") == F.col("at"))).alias("kept")), "passage-marked")
+    along = Window.partitionBy("key").orderBy("at")  # the windows of one text
+    begins = F.lag("at").over(along).isNull() | (F.lag("at").over(along) + WINDOW < F.col("at")) | (F.lag("kept").over(along) != F.col("kept"))
+    spans = written(marked.withColumn("begins", begins).select("key", "id", "h", "c", "at", "kept", (F.col("key") + F.max(F.when(F.col("begins"), F.col("k"))).over(along)).alias("span")), "passage-spans")
+    origin = written(spans.where("kept").select("h", "c", F.col("span").alias("to")), "passage-origins")
+    edges = written(spans.join(origin, ["h", "c"]).select("span", "to").distinct(), "passage-links")
+    label = components(edges, "span", "to")
+    whole = written(spans.groupBy("span").agg(F.first("id").alias("id"), F.first("kept").alias("kept"), F.min("at").alias("start"), (F.max("at") - F.min("at") + WINDOW).alias("n_words")), "passages")
+    whole = written(whole.join(label, whole["span"] == label["id"], "left").select("span", whole["id"], "kept", "start", "n_words", F.coalesce("label", "span").alias("cluster")), "passage-labels")
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "span")
+    sizes = written(whole.groupBy("cluster").agg(F.min(order).alias("best"), F.count("*").alias("size")), "passage-sizes")
+    return whole.join(sizes, "cluster").select("id", F.lit("passage").alias("kind"), "start", "n_words", F.col("cluster").alias("cluster_id"), F.col("best.id").alias("keep_id"), F.col("size").alias("cluster_size"), "kept")
+
+
+def repeated_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+    """One row for each occurrence of a paragraph or passage that repeats: id, kind, start, n_words, cluster_id,
+    keep_id, cluster_size, kept.
+
+    Words are runs of letters and digits in lower case. kind 'line': a line of min_words words or more that is similar
+    to another one; start is its number, from 0, and the occurrence with the least id (null last), then line, is kept.
+    kind 'passage': a stretch of words, start its first one, made of windows of 36 words that also occur elsewhere; all
+    repeats of 51 words or more have one, none is shorter than 36. Of each window the occurrence with the least id is
+    kept, and a passage holds windows that are all kept or all not, so the kept ones lose no content. Repeats within a
+    text count too. cluster_id numbers the clusters of a kind, without gaps or order. Null and empty texts have no
+    paragraphs; rows that repeat an id are told apart by their place in the input; an empty table gives an empty
+    result; other columns are ignored."""
+    bands, rows = tuned_bands(similarity, RECALL)
+    seeds = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    kind = type_of(df, id_col)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each line, and one for the windows of a text."""
+        from pyspark import TaskContext
+
+        key = number = TaskContext.get().partitionId() << 38
+        kinds = [pa.int64(), None, pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        names = ["key", "id", "line", "n_words", "digest", "sketch", "words", "at", "h", "c"]
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 1000):
+                part, words, texts = batch.slice(begin, 1000), {}, []
+                add = words.setdefault
+                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    lines = [words_of(raw) for raw in text.lower().split("\n")]
+                    texts.append((i, lines, [np.fromiter([add(w, len(words)) for w in own], np.int64, len(own)) for own in lines]))
+                h = word_hashes([w.encode() for w in words])
+                out = []
+                for i, lines, numbers in texts:
+                    for line, (own, x) in enumerate(zip(lines, numbers, strict=True)):
+                        if len(own) >= min_words:
+                            t = " ".join(own)
+                            out.append((key, i, line, len(own), hashlib.blake2b(t.encode(), digest_size=16).digest(), band_hashes(h[x], bands, rows, seeds).view(np.int64), t, None, None, None))
+                            key += 1
+                    at, first, second = windows(h[np.concatenate(numbers)])
+                    if len(at):
+                        out.append((number, i, None, None, None, None, None, at.astype(np.int32), first, second))
+                        number += len(at)
+                columns = list(zip(*out, strict=True)) or [[]] * 10
+                yield pa.RecordBatch.from_arrays([pa.array(c, t or batch.schema.field(0).type) for c, t in zip(columns, kinds, strict=True)], names)
+
+    texts = df.select(F.col(id_col), text_or_empty(text_col).alias("t"))
+    found = written(texts.mapInArrow(split, f"key long, id {kind}, line int, n_words int, digest binary, sketch array<long>, words string, at array<int>, h array<long>, c array<long>"), "paragraphs")
+    lines = _lines(found.where("line is not null").drop("at", "h", "c"), similarity, bands)
+    passages = _passages(found.where("at is not null").select("key", "id", "at", "h", "c"))
+    return lines.unionByName(passages).withColumnRenamed("id", id_col)
