@@ -89,7 +89,7 @@ def test_licenses(spark):
     table = spark.createDataFrame([(i, p, t, "x", 1.0) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string, dir string, score double")
     got = {r.doc_id: (r.license, r.how, r.from_dir) for r in license_scan(table, "path").collect()}
     assert got[0][:2] == ("MIT", "file") and got[1] == ("MIT", "inherited", "a") and got[2][:2] == ("Apache-2.0", "header")
-    assert got[3][0] is None and got[4][:2] == ("MIT", "header") and got[5][0] is None and got[6][0] is None and got[7][0] == "GPL-3.0"
+    assert got[3][0] is None and got[4][:2] == ("MIT", "file") and got[5][0] is None and got[6][0] is None and got[7][0] == "GPL-3.0"
     assert license_scan(table.limit(0), "path").count() == 0
 
 
