@@ -480,13 +480,25 @@ def embedding_train_hope_katz(t):
     return _vectors(run("embedding.train.hope.katz", t.trade(), embedding_size=4, beta=0.001))
 
 
-@on_tables
-def embedding_graph_sage(t):
-    """Trains on the trade graph with degrees as features and applies the model."""
+def _sage(t: Tables):
+    """The trade graph with degrees as features, and a model trained on them."""
     g = t.trade()
     features = run("util.graph.degree", g, True, False).df.select("id", F.col("value").cast("double").alias("i")).join(run("util.graph.degree", g, False, True).df.select("id", F.col("value").cast("double").alias("o")), "id")
     matrix, to_row = Matrix(features.select(F.col("id").alias("row"), F.array("i", "o").alias("values"))), NodeMap(features.select("id", F.col("id").alias("value")))
-    model = run("embedding.train.graph_sage.mean", g, matrix, to_row, layer_sizes=[8, 4], samples_per_layer=[3, 3], epochs=2)
+    return g, matrix, to_row, run("embedding.train.graph_sage.mean", g, matrix, to_row, layer_sizes=[8, 4], samples_per_layer=[3, 3], epochs=2)
+
+
+@on_tables
+def embedding_train_graph_sage_mean(t):
+    """The weights of the trained layers."""
+    model = _sage(t)[3]
+    rows = [(k, i, [float(x) for x in row]) for k, w in enumerate(model.weights) for i, row in enumerate(w)]
+    return t.spark.createDataFrame(rows, "layer long, row long, values array<double>")
+
+
+@on_tables
+def embedding_apply_graph_sage(t):
+    g, matrix, to_row, model = _sage(t)
     return run("embedding.apply.graph_sage", model, g, matrix, to_row).df
 
 

@@ -57,7 +57,7 @@ def test_searches_visit_what_they_reach(spark):
     assert sorted(order) == sorted(tree) and all(i == p or (p, i) in edges for i, p in tree.items())
 
 
-@pytest.mark.parametrize("name", ["embedding_train_node2vec", "embedding_train_graphwave", "embedding_train_line", "embedding_graph_sage"])
+@pytest.mark.parametrize("name", ["embedding_train_node2vec", "embedding_train_graphwave", "embedding_train_line", "embedding_apply_graph_sage"])
 def test_embeddings_have_a_vector_for_each_node(spark, name):
     found = QUERIES[name](spark, SF).collect()
     sizes = {len(r["values"]) for r in found}
