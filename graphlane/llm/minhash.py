@@ -5,8 +5,11 @@ the two labelled k-mers with the least hashes are kept in text order; their pair
 that agree in one sketch are candidates; to look at all pairs of a bucket would be quadratic, so each band sorts all
 texts by (its sketch, the next sketches in turn) and compares neighbours: similar texts share most sketches and so
 stand side by side in some band, and a group of any size costs one comparison a member and band. A band's order is
-a range-partitioned sort, which splits groups freely. A pair of neighbours is a link if the word edit distance, found
-by banded bit-parallel alignment, is at most 20 % of the longer text. Classes are the components of the links.
+a range-partitioned sort, which splits groups freely. A pair is a link if the word edit distance, found by banded
+bit-parallel alignment, is at most 20 % of the longer text. Then all other candidates that no links connect are met:
+members of a bucket with several classes are dealt into blocks, and every pair of different classes is aligned, unless
+the lengths or the folded counts of words prove it too far apart. Classes are the components of all links. A bucket of
+n texts that are not similar costs the square of n in bounds, which are cheap, and in alignments where bounds allow.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ K, ELL, M = 5, 2, 16
 SIMILARITY = 0.8
 FIRST_BANDS = 4
 REACH = 2
+BLOCK = 256  # members of a bucket that one block holds
+BAG = 64  # counters that a text's words are folded into
 FOLLOW = 3  # sketches after its own that a band sorts by
 words_of = re.compile(r"[^\W_]+").findall
 _SEEDS = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -121,8 +126,13 @@ def similar(a: list[str], b: list[str], similarity: float = SIMILARITY) -> bool:
     return limit > 64 and _banded(x, y, 32) or _banded(x, y, limit)
 
 
+def bag(h: np.ndarray) -> bytes:
+    """The words of a text, given their hashes, counted in BAG counters that stop at 255."""
+    return np.minimum(np.bincount((h >> np.uint64(32)).astype(np.int64) % BAG, minlength=BAG), 255).astype(np.uint8).tobytes()
+
+
 def _sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Written: gl_rec, gl_id, gl_key (unique), gl_digest (null without words), gl_sketch."""
+    """Written: gl_rec, gl_id, gl_key (unique), gl_digest (null without words), gl_sketch, gl_size (words), gl_bag."""
     rows = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("gl_rec"), F.col(id_col).alias("gl_id"))
     at = df.columns.index(text_col)
 
@@ -140,10 +150,11 @@ def _sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 h = word_hashes([w.encode() for w in words])
                 digests = [hashlib.blake2b(" ".join(own).encode(), digest_size=16).digest() if own else None for own in texts]
                 sketches = [order_minhash(h[x]).view(np.int64) if len(x) else None for x in numbers]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(range(row, row + len(texts)), pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], ["gl_rec", "gl_id", "gl_key", "gl_digest", "gl_sketch"])
+                bags = [bag(h[x]) if len(x) else None for x in numbers]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(range(row, row + len(texts)), pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array([len(x) for x in numbers], pa.int32()), pa.array(bags, pa.binary())], ["gl_rec", "gl_id", "gl_key", "gl_digest", "gl_sketch", "gl_size", "gl_bag"])
                 row += len(texts)
 
-    out = T.StructType([*rows.schema.fields, T.StructField("gl_key", T.LongType()), T.StructField("gl_digest", T.BinaryType()), T.StructField("gl_sketch", T.ArrayType(T.LongType()))])
+    out = T.StructType([*rows.schema.fields, T.StructField("gl_key", T.LongType()), T.StructField("gl_digest", T.BinaryType()), T.StructField("gl_sketch", T.ArrayType(T.LongType())), T.StructField("gl_size", T.IntegerType()), T.StructField("gl_bag", T.BinaryType())])
     return written(rows.mapInArrow(sketch, out), "omh-sketch")
 
 
@@ -193,6 +204,60 @@ def neighbours(banded: DataFrame, m: int, reach: int) -> DataFrame:
     return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def collisions(texts: DataFrame, links: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of all texts that have the same value at the same place of sketch and that links
+    do not connect; texts: key, sketch, size and bag (null: no bound). Left out are only pairs that cannot be similar:
+    of sizes, or counts of words, that differ by more than 1 - similarity of the larger size.
+
+    A bucket is dealt into blocks by the hash of the key. Each member is at home in one block, and those outside the
+    bucket's largest class visit all its blocks, so that a large class costs a row a member."""
+    label = components(links, "a", "b")
+    known = written(texts.join(label, texts["key"] == label["id"], "left").select("key", F.coalesce("label", "key").alias("class"), "size", "bag", "sketch"), "collision-texts")
+    each = known.select("key", "class", F.posexplode("sketch").alias("band", "s"))
+    parts = each.groupBy("band", "s", "class").agg(F.count("*").alias("n"))
+    met = parts.groupBy("band", "s").agg(F.sum("n").alias("c"), F.count("*").alias("classes"), F.max_by("class", "n").alias("main")).where("classes > 1")
+    met = written(met.select("band", "s", F.ceil(F.col("c") / block).cast("int").alias("blocks"), "main"), "collision-buckets")
+    members = written(each.join(met, ["band", "s"]).select("band", "s", "key", "class", "blocks", "main"), "collision-members")
+    members = written(members.join(known.select("key", "size", "bag"), "key"), "collision-bags")
+    other = F.col("class") != F.col("main")
+    homes = members.select("band", "s", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("visits"), "key", "class", other.alias("other"), "size", "bag")
+    visitors = members.where(other).select("band", "s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visits"), "key", "class", F.lit(True).alias("other"), "size", "bag")
+    place = ["band", "s", "block"]
+    dealt = homes.unionByName(visitors).repartition(*place).sortWithinPartitions(*place, "visits")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, home = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            band, s, number, visits, key, of, rest, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(8))
+            bags = None if batch.column(8).null_count else np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16)
+            new = (band[1:] != band[:-1]) | (s[1:] != s[:-1]) | (number[1:] != number[:-1]) | (visits[1:] != visits[:-1])
+            edges = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if at != (band[lo], s[lo], number[lo]):
+                    at, home = (band[lo], s[lo], number[lo]), []
+                if not visits[lo]:
+                    home.append((key[lo:hi], of[lo:hi], rest[lo:hi], size[lo:hi], None if bags is None else bags[lo:hi]))
+                    continue
+                for (hk, ho, hr, hs, hb), i in ((x, i) for x in home for i in range(lo, hi, block)):
+                    end = min(hi, i + block)
+                    limit = (1 - similarity) * np.maximum(hs[:, None], size[None, i:end]) + 1e-9
+                    ok = (ho[:, None] != of[None, i:end]) & (~hr[:, None] | (hk[:, None] < key[None, i:end])) & (np.abs(hs[:, None] - size[None, i:end]) <= limit)
+                    x, y = np.nonzero(ok)
+                    if len(x) and hb is not None and bags is not None:
+                        apart = [hb[x[j : j + 65536]] - bags[i:end][y[j : j + 65536]] for j in range(0, len(x), 65536)]
+                        far = np.concatenate([np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1)) for d in apart])
+                        x, y = x[far <= limit[x, y]], y[far <= limit[x, y]]
+                    left.append(hk[x])
+                    right.append(key[i:end][y])
+            a, b = np.concatenate(left), np.concatenate(right)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return written(dealt.mapInArrow(meet, "a long, b long").distinct(), "collisions")
+
+
 def _banded_rows(reps: DataFrame, bands: int) -> DataFrame:
     return reps.select("key", "sketch", F.explode(F.array(*[F.lit(b) for b in range(bands)])).alias("band"))
 
@@ -220,17 +285,23 @@ def _classes(df: DataFrame, id_col: str, text_col: str, similarity: float) -> tu
     """The sketched rows, and (gl_digest, class_key, class_id, class_size) of texts that have words."""
     rows = _sketched(df, id_col, text_col)
     order = F.struct(F.col("gl_id").isNull().alias("no_id"), F.col("gl_id").alias("id"), F.col("gl_key").alias("key"))
-    reps = rows.where("gl_digest is not null").groupBy("gl_digest").agg(F.min(order).alias("best"), F.count("*").alias("n"), F.any_value("gl_sketch").alias("sketch"))
-    reps = written(reps.select("gl_digest", "best", "n", "sketch", F.col("best.key").alias("key")), "omh-texts")
+    reps = rows.where("gl_digest is not null").groupBy("gl_digest").agg(F.min(order).alias("best"), F.count("*").alias("n"), F.any_value("gl_sketch").alias("sketch"), F.any_value("gl_size").alias("size"), F.any_value("gl_bag").alias("bag"))
+    reps = written(reps.select("gl_digest", "best", "n", "sketch", "size", "bag", F.col("best.key").alias("key")), "omh-texts")
     first, rest = written(neighbours(_banded_rows(reps, FIRST_BANDS), M, 1), "omh-pairs"), written(neighbours(_banded_rows(reps, M), M, REACH), "omh-pairs")
-    needed = first.unionByName(rest).select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = written(rows.select(F.col("gl_key").alias("key"), text_or_empty(f"gl_rec.{text_col}").alias("text")).join(needed.hint("merge"), "key", "left_semi"), "omh-candidates")
+
+    def needed(pairs: DataFrame) -> DataFrame:
+        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        return written(rows.select(F.col("gl_key").alias("key"), text_or_empty(f"gl_rec.{text_col}").alias("text")).join(keys.hint("merge"), "key", "left_semi"), "omh-candidates")
+
+    texts = needed(first.unionByName(rest))
     links = _verified(first, texts, similarity)
     # pairs that the first bands' links connect already need no alignment
     label = written(components(links, "a", "b"), "omh-labels")
     la, lb = label.select(F.col("id").alias("a"), F.col("label").alias("la")), label.select(F.col("id").alias("b"), F.col("label").alias("lb"))
     apart = rest.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"), "a", "b").where("la != lb").select("a", "b")
     links = links.unionByName(_verified(apart, texts, similarity))
+    left = collisions(reps.select("key", "sketch", "size", "bag"), links, similarity)
+    links = links.unionByName(_verified(left, needed(left), similarity))
     label = components(links, "a", "b")
     joined = written(reps.join(label, reps["key"] == label["id"], "left").select("gl_digest", "best", "n", F.coalesce("label", "key").alias("label")), "omh-classes")
     whole = written(joined.groupBy("label").agg(F.min("best").alias("class_best"), F.sum("n").alias("class_size")), "omh-sizes")

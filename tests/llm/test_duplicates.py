@@ -51,6 +51,21 @@ def test_near_duplicates_are_those_of_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.class_id) and r.class_size == sum(v == r.class_id for v in want.values()) for r in got)
 
 
+def test_near_duplicates_in_a_crowd_of_one_template(spark):
+    """All texts share sketches with all others by their template, but each is similar to its partner only."""
+    rng = random.Random(8)
+    form = prose(rng, 79, 10_000)
+    rows = []
+    for i in range(60):
+        shared = " ".join(f"own{i}x{j}" for j in range(10))
+        rows += [(copy * 1000 + i, " ".join([form, shared, *(f"c{copy}d{i}x{j}" for j in range(11))])) for copy in range(2)]
+    pairs = [(i, 1000 + i) for i in range(60)]
+    texts = {i: words(t) for i, t in rows}
+    assert all(similar(texts[a], texts[b]) for a, b in pairs) and not similar(texts[0], texts[1]) and not similar(texts[0], texts[1001])
+    got = near_duplicates(docs(spark, rows)).collect()
+    assert {r.doc_id: r.class_id for r in got} == components_of(pairs, texts)
+
+
 def test_near_duplicates_bear_edge_cases(spark):
     table = docs(spark, edge_rows())
     got = near_duplicates(table).collect()
