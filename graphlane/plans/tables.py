@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_leaving: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset (tests)."""
@@ -23,9 +26,47 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables; what is left of it goes when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+    if path not in _leaving:
+        _leaving.add(path)
+        atexit.register(_leave, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _leave(spark: SparkSession, path: str) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, path)
+    except Exception:  # the JVM may be gone; a stopped application's folder can be removed by hand
+        pass
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts the lineage, outlives executors and is computed once."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(compression="zstd", **options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.gl_path = path
+    return table
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes written tables that nothing will read again; other frames are left alone."""
+    for table in tables:
+        path = table.__dict__.pop("gl_path", None) if table is not None else None
+        if path:
+            _delete(table.sparkSession, path)
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written, once the results that read them are stored elsewhere."""
+    _delete(spark, tables_dir(spark))
