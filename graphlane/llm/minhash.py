@@ -1,15 +1,12 @@
 """Near-duplicate detection with Order MinHash and banded alignment.
 
 A document's k-mers are its runs of five words, each labelled with its occurrence number. For each of M hash functions
-the two labelled k-mers with the least hashes are kept in text order; their pair is a sketch (Order MinHash). Texts
-that agree in one sketch are candidates; to look at all pairs of a bucket would be quadratic, so each band sorts all
-texts by (its sketch, the next sketches in turn) and compares neighbours: similar texts share most sketches and so
-stand side by side in some band, and a group of any size costs one comparison a member and band. A band's order is
-a range-partitioned sort, which splits groups freely. A pair is a link if the word edit distance, found by banded
-bit-parallel alignment, is at most 20 % of the longer text. Then all other candidates that no links connect are met:
-members of a bucket with several classes are dealt into blocks, and every pair of different classes is aligned, unless
-the lengths or the folded counts of words prove it too far apart. Classes are the components of all links. A bucket of
-n texts that are not similar costs the square of n in bounds, which are cheap, and in alignments where bounds allow.
+the ELL labelled k-mers with the least hashes are kept in text order; together they are a sketch (Order MinHash). Texts
+that agree in one sketch are candidates. A changed word spoils five runs, which leaves short texts too few, so texts below
+50 words are sketched by runs of two words and texts below 12 by single words, with more of them in a sketch; texts
+whose partners may be on the other side of such a bound are sketched both ways. A pair is a link if the word edit distance,
+found by banded bit-parallel alignment, is at most 20 % of the longer text. Classes are the components of all links;
+graphlane.llm.linking says in which order candidates are aligned and how crowded sketches are met.
 """
 
 from __future__ import annotations
@@ -23,43 +20,85 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from graphlane.llm.common import text_or_empty, written
+from graphlane.llm.common import dropped, pieces_of, text_or_empty, written
 from graphlane.llm.hashing import BASE, grams, mix, word_hashes
-from graphlane.plans.components import components
+from graphlane.llm.linking import bags, classes, sharing
 
-K, ELL, M = 5, 2, 16
+M = 64
 SIMILARITY = 0.8
-FIRST_BANDS = 4
-REACH = 2
-BLOCK = 256  # members of a bucket that one block holds
-BAG = 64  # counters that a text's words are folded into
-FOLLOW = 3  # sketches after its own that a band sorts by
+#: (words of a k-mer, k-mers of a sketch, least and most words of the texts that are sketched so)
+SCHEMES = [(1, 4, 4, 11), (2, 3, 9, 49), (5, 2, 40, 1 << 62)]
+BLOCK_WORDS = 1 << 16
 words_of = re.compile(r"[^\W_]+").findall
-_SEEDS = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def order_minhash(h: np.ndarray, k: int = K) -> np.ndarray:
-    """The M sketches of a text, given its word hashes; a text of fewer than k words is a single k-mer."""
-    g = grams(h, min(k, len(h)))
-    by = np.argsort(g, kind="stable")
-    ordered = g[by]
-    if len(g) > 1 and (ordered[1:] == ordered[:-1]).any():
-        start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        label = np.arange(len(g)) - np.repeat(start, np.diff(np.append(start, len(g))))
-        g = g.copy()
-        g[by] = np.where(label == 0, ordered, mix(ordered + label.astype(np.uint64) * np.uint64(BASE)))
-    x = g[None, :] * _SEEDS[:, None]
-    x ^= x >> np.uint64(31)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    rows = np.arange(M)
-    first = x.argmin(axis=1)
-    if len(g) < ELL:
-        return mix(g[first] + rows.astype(np.uint64))
-    x[rows, first] = np.uint64(2**64 - 1)
-    second = x.argmin(axis=1)
-    return mix(g[np.minimum(first, second)] * np.uint64(BASE) + g[np.maximum(first, second)] + rows.astype(np.uint64))
+_SEEDS = np.random.Generator(np.random.PCG64(5)).integers(1, 2**31, M, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def labelled_grams(h: np.ndarray, lens: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The occurrence-labelled k-mers of texts that follow each other in h (word hashes), and where each text's begin;
+    all texts have k words or more. A k-mer that repeats in its text gets another hash each time."""
+    ends = np.cumsum(lens)
+    inside = np.ones(len(h) - k + 1, bool)
+    for j in range(1, k):
+        inside[ends[:-1] - j] = False
+    g = grams(h, k)[inside]
+    n = lens - k + 1
+    start = np.cumsum(n) - n
+    owner = np.repeat(np.arange(len(lens)), n)
+    own = g ^ mix(owner.astype(np.uint64) + np.uint64(1))
+    ordered = np.sort(own)
+    again = ordered[1:][ordered[1:] == ordered[:-1]]
+    if len(again):
+        at = np.flatnonzero(np.isin(own, again))
+        by = at[np.argsort(own[at], kind="stable")]
+        first = np.flatnonzero(np.concatenate([[True], own[by][1:] != own[by][:-1]]))
+        label = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
+        g[by] = np.where(label == 0, g[by], mix(g[by] + label.astype(np.uint64) * np.uint64(BASE)))
+    return g, start
+
+
+def order_minhash(h: np.ndarray, lens: np.ndarray, k: int, ell: int, m: int = M) -> np.ndarray:
+    """The m sketches (columns) of each text (rows); texts follow each other in h and have k + ell - 1 words or more."""
+    g, start = labelled_grams(h, lens, k)
+    n = np.diff(np.append(start, len(g)))
+    low = (g & np.uint64(2**32 - 1)).astype(np.uint32)
+    out = np.empty((len(lens), m), np.uint64)
+    for s in range(m):
+        x = low * _SEEDS[s]
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x2C1B3C6D)
+        picked = np.empty((ell, len(lens)), np.int64)
+        for e in range(ell):
+            least = np.minimum.reduceat(x, start)
+            at = np.flatnonzero(x == np.repeat(least, n))
+            if len(at) > len(lens):  # equal hashes in a text: the first one
+                of = np.searchsorted(start, at, "right")
+                at = at[np.concatenate([[True], of[1:] != of[:-1]])]
+            picked[e] = at
+            x[at] = np.uint32(2**32 - 1)
+        picked.sort(axis=0)
+        value = np.full(len(lens), k * 1000 + s, np.uint64)
+        for e in range(ell):
+            value = value * np.uint64(BASE) + g[picked[e]]
+        out[:, s] = mix(value)
+    return out
+
+
+def sketches(texts: list[np.ndarray]) -> list[bytes]:
+    """Of each text, given as word hashes, the sketches of all schemes that take its length."""
+    found: list[list[bytes]] = [[] for _ in texts]
+    lens = np.fromiter(map(len, texts), np.int64, len(texts))
+    for k, ell, least, most in SCHEMES:
+        rows = np.flatnonzero((lens >= least) & (lens <= most))
+        size = np.cumsum(lens[rows])
+        start = 0
+        while start < len(rows):
+            stop = max(int(np.searchsorted(size, (size[start - 1] if start else 0) + BLOCK_WORDS, "right")), start + 1)
+            own = rows[start:stop]
+            for i, x in zip(own.tolist(), order_minhash(np.concatenate([texts[i] for i in own]), lens[own], k, ell), strict=True):
+                found[i].append(x.tobytes())
+            start = stop
+    return [b"".join(x) for x in found]
 
 
 def _banded(a: list[int], b: list[int], limit: int) -> bool:
@@ -126,11 +165,6 @@ def similar(a: list[str], b: list[str], similarity: float = SIMILARITY) -> bool:
     return limit > 64 and _banded(x, y, 32) or _banded(x, y, limit)
 
 
-def bag(h: np.ndarray) -> bytes:
-    """The words of a text, given their hashes, counted in BAG counters that stop at 255."""
-    return np.minimum(np.bincount((h >> np.uint64(32)).astype(np.int64) % BAG, minlength=BAG), 255).astype(np.uint8).tobytes()
-
-
 def _sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Written: gl_rec, gl_id, gl_key (unique), gl_digest (null without words), gl_sketch, gl_size (words), gl_bag."""
     rows = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("gl_rec"), F.col(id_col).alias("gl_id"))
@@ -141,171 +175,62 @@ def _sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         row = TaskContext.get().partitionId() << 32
         for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                batch = whole.slice(k, 1000)
-                texts = [words_of((t or "").lower()) for t in batch.column(0).flatten()[at].to_pylist()]
+            for start, part in pieces_of(whole.column(0).flatten()[at].cast(pa.string())):
+                texts = [words_of(t.lower()) for t in part]
                 words: dict[str, int] = {}
                 add = words.setdefault
                 numbers = [np.fromiter([add(w, len(words)) for w in own], np.int64, len(own)) for own in texts]
                 h = word_hashes([w.encode() for w in words])
                 digests = [hashlib.blake2b(" ".join(own).encode(), digest_size=16).digest() if own else None for own in texts]
-                sketches = [order_minhash(h[x]).view(np.int64) if len(x) else None for x in numbers]
-                bags = [bag(h[x]) if len(x) else None for x in numbers]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(range(row, row + len(texts)), pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array([len(x) for x in numbers], pa.int32()), pa.array(bags, pa.binary())], ["gl_rec", "gl_id", "gl_key", "gl_digest", "gl_sketch", "gl_size", "gl_bag"])
-                row += len(texts)
+                hashed = [h[x] for x in numbers]
+                lens = np.fromiter(map(len, hashed), np.int64, len(hashed))
+                yield pa.RecordBatch.from_arrays([*whole.slice(start, len(part)).columns, pa.array(range(row, row + len(part)), pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches(hashed), pa.binary()), pa.array(lens, pa.int32()), pa.array(bags(np.concatenate(hashed), lens), pa.binary())], ["gl_rec", "gl_id", "gl_key", "gl_digest", "gl_sketch", "gl_size", "gl_bag"])
+                row += len(part)
 
-    out = T.StructType([*rows.schema.fields, T.StructField("gl_key", T.LongType()), T.StructField("gl_digest", T.BinaryType()), T.StructField("gl_sketch", T.ArrayType(T.LongType())), T.StructField("gl_size", T.IntegerType()), T.StructField("gl_bag", T.BinaryType())])
+    out = T.StructType([*rows.schema.fields, T.StructField("gl_key", T.LongType()), T.StructField("gl_digest", T.BinaryType()), T.StructField("gl_sketch", T.BinaryType()), T.StructField("gl_size", T.IntegerType()), T.StructField("gl_bag", T.BinaryType())])
     return written(rows.mapInArrow(sketch, out), "omh-sketch")
 
 
-def neighbours(banded: DataFrame, m: int, reach: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of texts at most reach places apart in a band that share its sketch; banded: key,
-    sketch (m values) and band."""
-    order = ["band", *(f"s{j}" for j in range(FOLLOW + 1)), "key"]
-    rows = banded.select(F.col("band").cast("int").alias("band"), *[F.element_at("sketch", ((F.col("band") + j) % m + 1).cast("int")).alias(f"s{j}") for j in range(FOLLOW + 1)], "key")
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of neighbours, and the first and last row of the partition as (band, s0, place, key, null)."""
-        from pyspark import TaskContext
-
-        task, last = TaskContext.get().partitionId(), None
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        names = ["band", "s0", "place", "a", "b"]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            band, s0, key = (np.asarray(batch.column(i)) for i in (0, 1, FOLLOW + 2))
-            if last is None:
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((band[0], s0[0], 2 * task, key[0], None), kinds, strict=True)], names)
-                old = 0
-            else:
-                old = len(last[0])
-                band, s0, key = (np.concatenate([x, y]) for x, y in zip(last, (band, s0, key), strict=True))
-            a, b = [], []
-            for r in range(1, reach + 1):
-                same = np.flatnonzero((band[r:] == band[:-r]) & (s0[r:] == s0[:-r]))
-                same = same[same + r >= old]
-                a.append(key[same])
-                b.append(key[same + r])
-            left, right = np.concatenate(a), np.concatenate(b)
-            none = pa.nulls(len(left))
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(left, pa.int64()), pa.array(right, pa.int64())], names)
-            last = band[-reach:], s0[-reach:], key[-reach:]
-        if last is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((last[0][-1], last[1][-1], 2 * task + 1, last[2][-1], None), kinds, strict=True)], names)
-
-    found = written(ordered.mapInArrow(chain, "band int, s0 long, place long, a long, b long"), "omh-neighbours")
-    # where partitions meet: two rows for each partition, whatever the number of rows
-    at = Window.partitionBy(F.lit(0)).orderBy("place")
-    ends = found.where("place is not null").select("place", "a", F.lead("a").over(at).alias("b"), (F.col("band") == F.lead("band").over(at)).alias("same_band"), (F.col("s0") == F.lead("s0").over(at)).alias("same_s0"))
-    ends = ends.where("place % 2 = 1 and same_band and same_s0").select("a", "b")
-    pairs = found.where("b is not null").select("a", "b").unionByName(ends)
-    return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def collisions(texts: DataFrame, links: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of all texts that have the same value at the same place of sketch and that links
-    do not connect; texts: key, sketch, size and bag (null: no bound). Left out are only pairs that cannot be similar:
-    of sizes, or counts of words, that differ by more than 1 - similarity of the larger size.
-
-    A bucket is dealt into blocks by the hash of the key. Each member is at home in one block, and those outside the
-    bucket's largest class visit all its blocks, so that a large class costs a row a member."""
-    label = components(links, "a", "b")
-    known = written(texts.join(label, texts["key"] == label["id"], "left").select("key", F.coalesce("label", "key").alias("class"), "size", "bag", "sketch"), "collision-texts")
-    each = known.select("key", "class", F.posexplode("sketch").alias("band", "s"))
-    parts = each.groupBy("band", "s", "class").agg(F.count("*").alias("n"))
-    met = parts.groupBy("band", "s").agg(F.sum("n").alias("c"), F.count("*").alias("classes"), F.max_by("class", "n").alias("main")).where("classes > 1")
-    met = written(met.select("band", "s", F.ceil(F.col("c") / block).cast("int").alias("blocks"), "main"), "collision-buckets")
-    members = written(each.join(met, ["band", "s"]).select("band", "s", "key", "class", "blocks", "main"), "collision-members")
-    members = written(members.join(known.select("key", "size", "bag"), "key"), "collision-bags")
-    other = F.col("class") != F.col("main")
-    homes = members.select("band", "s", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("visits"), "key", "class", other.alias("other"), "size", "bag")
-    visitors = members.where(other).select("band", "s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visits"), "key", "class", F.lit(True).alias("other"), "size", "bag")
-    place = ["band", "s", "block"]
-    dealt = homes.unionByName(visitors).repartition(*place).sortWithinPartitions(*place, "visits")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, home = None, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            band, s, number, visits, key, of, rest, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(8))
-            bags = None if batch.column(8).null_count else np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16)
-            new = (band[1:] != band[:-1]) | (s[1:] != s[:-1]) | (number[1:] != number[:-1]) | (visits[1:] != visits[:-1])
-            edges = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
-            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if at != (band[lo], s[lo], number[lo]):
-                    at, home = (band[lo], s[lo], number[lo]), []
-                if not visits[lo]:
-                    home.append((key[lo:hi], of[lo:hi], rest[lo:hi], size[lo:hi], None if bags is None else bags[lo:hi]))
-                    continue
-                for (hk, ho, hr, hs, hb), i in ((x, i) for x in home for i in range(lo, hi, block)):
-                    end = min(hi, i + block)
-                    limit = (1 - similarity) * np.maximum(hs[:, None], size[None, i:end]) + 1e-9
-                    ok = (ho[:, None] != of[None, i:end]) & (~hr[:, None] | (hk[:, None] < key[None, i:end])) & (np.abs(hs[:, None] - size[None, i:end]) <= limit)
-                    x, y = np.nonzero(ok)
-                    if len(x) and hb is not None and bags is not None:
-                        apart = [hb[x[j : j + 65536]] - bags[i:end][y[j : j + 65536]] for j in range(0, len(x), 65536)]
-                        far = np.concatenate([np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1)) for d in apart])
-                        x, y = x[far <= limit[x, y]], y[far <= limit[x, y]]
-                    left.append(hk[x])
-                    right.append(key[i:end][y])
-            a, b = np.concatenate(left), np.concatenate(right)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    return written(dealt.mapInArrow(meet, "a long, b long").distinct(), "collisions")
-
-
-def _banded_rows(reps: DataFrame, bands: int) -> DataFrame:
-    return reps.select("key", "sketch", F.explode(F.array(*[F.lit(b) for b in range(bands)])).alias("band"))
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose texts are similar."""
-    left, right = texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
-    # the candidates grow with the input, so texts are joined in the same way at every size
-    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb")
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            last: tuple = (None, None)
-            ok = []
-            for b, ta, tb in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                if last[0] != b:
-                    last = b, words_of(tb.lower())
-                ok.append(similar(words_of(ta.lower()), last[1], similarity))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], ["a", "b"])
-
-    return written(both.mapInArrow(align, "a long, b long"), "omh-links")
-
-
 def _classes(df: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """The sketched rows, and (gl_digest, class_key, class_id, class_size) of texts that have words."""
+    """The sketched rows, and (gl_digest, class_best, class_size) of texts that have words."""
     rows = _sketched(df, id_col, text_col)
     order = F.struct(F.col("gl_id").isNull().alias("no_id"), F.col("gl_id").alias("id"), F.col("gl_key").alias("key"))
-    reps = rows.where("gl_digest is not null").groupBy("gl_digest").agg(F.min(order).alias("best"), F.count("*").alias("n"), F.any_value("gl_sketch").alias("sketch"), F.any_value("gl_size").alias("size"), F.any_value("gl_bag").alias("bag"))
-    reps = written(reps.select("gl_digest", "best", "n", "sketch", "size", "bag", F.col("best.key").alias("key")), "omh-texts")
-    first, rest = written(neighbours(_banded_rows(reps, FIRST_BANDS), M, 1), "omh-pairs"), written(neighbours(_banded_rows(reps, M), M, REACH), "omh-pairs")
+    reps = rows.where("gl_digest is not null").groupBy("gl_digest").agg(F.min(order).alias("best"), F.count("*").alias("n"))
+    reps = written(reps.select("gl_digest", "best", "n", F.col("best.key").alias("key")), "omh-texts")
+    own = rows.select(F.col("gl_key").alias("key"), F.col("gl_sketch").alias("sketch"), F.col("gl_size").alias("size"), F.col("gl_bag").alias("bag"))
+    things = own.join(reps.select("key").hint("merge"), "key", "left_semi")
 
-    def needed(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame) -> DataFrame:
         keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        return written(rows.select(F.col("gl_key").alias("key"), text_or_empty(f"gl_rec.{text_col}").alias("text")).join(keys.hint("merge"), "key", "left_semi"), "omh-candidates")
-
-    texts = needed(first.unionByName(rest))
-    links = _verified(first, texts, similarity)
-    # pairs that the first bands' links connect already need no alignment
-    label = written(components(links, "a", "b"), "omh-labels")
-    la, lb = label.select(F.col("id").alias("a"), F.col("label").alias("la")), label.select(F.col("id").alias("b"), F.col("label").alias("lb"))
-    apart = rest.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"), "a", "b").where("la != lb").select("a", "b")
-    links = links.unionByName(_verified(apart, texts, similarity))
-    left = collisions(reps.select("key", "sketch", "size", "bag"), links, similarity)
-    links = links.unionByName(_verified(left, needed(left), similarity))
-    label = components(links, "a", "b")
+        texts = written(rows.select(F.col("gl_key").alias("key"), text_or_empty(f"gl_rec.{text_col}").alias("text")).join(keys.hint("merge"), "key", "left_semi"), "omh-candidates")
+        left, right = texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
+        # the candidates grow with the input, so texts are joined in the same way at every size
+        both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb")
+        links = written(both.mapInArrow(lambda it: _aligned(it, similarity), "a long, b long"), "omh-links")
+        dropped(texts)
+        return links
+
+    members = sharing(things)
+    label = classes(things, members, verify, 1 - similarity)
     joined = written(reps.join(label, reps["key"] == label["id"], "left").select("gl_digest", "best", "n", F.coalesce("label", "key").alias("label")), "omh-classes")
-    whole = written(joined.groupBy("label").agg(F.min("best").alias("class_best"), F.sum("n").alias("class_size")), "omh-sizes")
-    return rows, written(joined.join(whole, "label").select("gl_digest", "class_best", "class_size"), "omh-members")
+    whole = joined.groupBy("label").agg(F.min("best").alias("class_best"), F.sum("n").alias("class_size"))
+    whole = written(joined.join(whole, "label").select("gl_digest", "class_best", "class_size"), "omh-members")
+    dropped(reps, members, joined, label)
+    return rows, whole
+
+
+def _aligned(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose texts are similar."""
+    for batch in batches:
+        last: tuple = (None, None)
+        ok = []
+        for start, texts in pieces_of(batch.column(2)):
+            for k, ta in enumerate(texts, start):
+                b = batch.column(1)[k]
+                if last[0] != b:
+                    last = b, words_of(batch.column(3)[k].as_py().lower())
+                ok.append(similar(words_of(ta.lower()), last[1], similarity))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], ["a", "b"])
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -314,8 +239,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Words are runs of letters and digits in lower case; texts with the same words are in one class, and so are texts
     that verified links connect. class_id is the least id of the class and that row is kept (null ids come last; of
     rows that tie, one is kept). Null texts and texts without words are classes of their own. Rows that repeat share a
-    class. An empty table gives an empty result; other columns are ignored. Links are searched by sketches, so texts
-    below the recall of M sketches (few common runs of five words) may stay unlinked; none is linked unverified."""
+    class. An empty table gives an empty result; other columns are ignored. Candidates are texts that agree in a
+    sketch, all of them; similar texts that agree in none of their M sketches (README: how many) stay unlinked, and none
+    is linked unverified."""
     rows, members = _classes(df.select(F.col(id_col), F.col(text_col)), id_col, text_col, similarity)
     joined = rows.select("gl_id", "gl_key", "gl_digest").join(members, "gl_digest", "left")
     alone = F.col("class_best").isNull()
