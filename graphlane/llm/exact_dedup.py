@@ -154,7 +154,8 @@ def _classified(df: DataFrame, id_col: str, text_col: str, budget: int) -> tuple
     first = local.where("gl_first").select(F.col("gl_task").alias("a_task"), F.col("gl_cls").alias("a_cls"), normalised(f"gl_rec.{text_col}").alias("gl_norm"), "gl_sha")
     first = first.repartition("gl_sha")
     out = T.StructType([first.schema["a_task"], first.schema["a_cls"], *KEYS])
-    joined = first.mapInArrow(lambda it: classes_of(it, ["gl_norm", "gl_sha"], budget), out).select(F.col("a_task").alias("gl_task"), F.col("a_cls").alias("gl_cls"), F.col("gl_task").alias("g_task"), F.col("gl_cls").alias("g_cls"))
+    # class numbers follow the order in which rows arrived, which another run of a lost task would change
+    joined = written(first.mapInArrow(lambda it: classes_of(it, ["gl_norm", "gl_sha"], budget), out), "exact-classes").select(F.col("a_task").alias("gl_task"), F.col("a_cls").alias("gl_cls"), F.col("gl_task").alias("g_task"), F.col("gl_cls").alias("g_cls"))
     order = F.struct(F.col("gl_id").isNull().alias("no_id"), F.col("gl_id").alias("id"), F.col("gl_task").alias("task"), F.col("gl_row").alias("row"))
     stats = local.groupBy("gl_task", "gl_cls").agg(F.count("*").alias("n"), F.min(order).alias("best"))
     whole = Window.partitionBy("g_task", "g_cls")
