@@ -15,14 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlane.llm.common import text_or_empty, type_of
+from graphlane.llm.common import pieces_of, text_or_empty, type_of
 from graphlane.llm.hashing import BASE, CODES, mix, word_hashes
 
 BUCKETS = 1 << 18
 DIM = 8
 SAMPLE_ROWS = 6000
 EPOCHS = 6
-BLOCK_WORDS = 1 << 20
+PIECE_BYTES = 4 << 20
 REPEAT = BUCKETS  # the row of the mark
 
 
@@ -90,37 +90,22 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 7) -> t
     return (table @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def score_texts(texts: Iterator[str], weight: np.ndarray, bias: float) -> list[float]:
+def score_texts(texts: list[str], weight: np.ndarray, bias: float) -> list[float]:
     """Of each text the probability of label 1."""
-    scores: list[float] = []
-    block: list[list[bytes]] = []
-    held = 0
-
-    def flush() -> None:
-        words: dict[bytes, int] = {}
-        add = words.setdefault
-        numbers = [np.fromiter([add(w, len(words)) for w in own], np.int64, len(own)) for own in block]
-        names = list(words)
-        h = word_hashes(names)
-        ids, of = _char_grams(names)
-        total = np.bincount(of, weight[ids], len(names)) + weight[(h % np.uint64(BUCKETS)).astype(np.int64)]
-        count = np.bincount(of, minlength=len(names)) + 1
-        for own in numbers:
-            if not len(own):
-                scores.append(float(1 / (1 + np.exp(-bias))))
-                continue
-            s = total[own].sum() + weight[_pairs(h[own])].sum()
-            z = s / (count[own].sum() + len(own) - 1) + bias
-            scores.append(float(1 / (1 + np.exp(-min(max(z, -500.0), 500.0)))))
-
-    for text in texts:
-        block.append(text.encode().split())
-        held += len(block[-1])
-        if held >= BLOCK_WORDS:
-            flush()
-            block, held = [], 0
-    if block:
-        flush()
+    words: dict[bytes, int] = {}
+    add = words.setdefault
+    numbers = [np.array([add(w, len(words)) for w in t.encode().split()], np.int64) for t in texts]
+    names = list(words)
+    h = word_hashes(names)
+    ids, of = _char_grams(names)
+    total = np.bincount(of, weight[ids], len(names)) + weight[(h % np.uint64(BUCKETS)).astype(np.int64)]
+    count = np.bincount(of, minlength=len(names)) + 1
+    scores = []
+    for own in numbers:
+        z = bias
+        if len(own):
+            z += (total[own].sum() + weight[_pairs(h[own])].sum()) / (count[own].sum() + len(own) - 1)
+        scores.append(float(1 / (1 + np.exp(-min(max(z, -500.0), 500.0)))))
     return scores
 
 
@@ -138,8 +123,8 @@ def quality_scores(df: DataFrame, labels: DataFrame, learn_from, label: str = "q
     labels: id and label (0 or 1); other values, null ids and ids without a text teach nothing, and an id that is
     labelled twice counts as 1. learn_from: a condition on the id that marks the labels to learn from. The model learns
     from at most sample_rows of them, chosen by a hash of the id, so training and what is sent to executors don't grow
-    with the input. Null and empty texts get the score of no words; without labels every score is 0.5. Columns score
-    and gl_* of df are replaced."""
+    with the input. Null and empty texts get the score of no words; without labels every score is 0.5. A column score
+    of df is replaced."""
     weight, bias = train(sample(df, labels.where(learn_from), label, id_col, text_col, sample_rows))
     model = df.sparkSession.sparkContext.broadcast((weight, bias))
     kept = [c for c in df.columns if c.lower() != "score"]
@@ -148,7 +133,7 @@ def quality_scores(df: DataFrame, labels: DataFrame, learn_from, label: str = "q
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = (t or "" for t in batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_texts(texts, *model.value), pa.float64())], [*batch.schema.names, "score"])
+            scores = [x for _, part in pieces_of(batch.column(at), PIECE_BYTES) for x in score_texts(part, *model.value)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
     return rows.mapInArrow(score, ", ".join([f"`{c}` {type_of(df, c)}" for c in kept] + ["score double"]))
