@@ -20,7 +20,7 @@ from graphlane.llm.packed import met_in, once_each, press, repeated_values, unpr
 from graphlane.plans.components import components, extended, relabelled
 
 BLOCK = 256  # members of a value that one block holds
-BAG = 64  # counters that what a thing holds is folded into
+BAG = 256  # counters that what a thing holds is folded into
 CHUNK_ROWS = 4000
 Verify = Callable[[DataFrame], DataFrame]
 
@@ -45,9 +45,9 @@ def sharing(things: DataFrame) -> DataFrame:
                 own = part.column(1).to_pylist()
                 n = np.fromiter((len(x) // 8 for x in own), np.int64, len(own))
                 values, key = np.frombuffer(b"".join(own), np.uint64), np.repeat(part.column(0).to_numpy(zero_copy_only=False), n)
-                first, twice, same = once_each(values, [key])
+                first, twice, same = once_each([values], [key])
                 blobs = values[first].tobytes(), np.packbits(twice).tobytes(), press(key[first]), press(key), press(same)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *(pa.array([x], pa.binary()) for x in blobs), pa.array([len(first)], pa.int64())], ["chunk", "v", "twice", "p0", "keys", "same", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *(pa.array([x], pa.binary()) for x in blobs), pa.array([len(first)], pa.int64())], ["chunk", "v0", "twice", "p0", "keys", "same", "n"])
                 chunk += 1
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,30 +60,47 @@ def sharing(things: DataFrame) -> DataFrame:
                 hit = np.flatnonzero(low[same] >= 0)
                 yield pa.RecordBatch.from_arrays([pa.array(values[same[hit]].view(np.int64)), pa.array(key[hit]), pa.array(low[same[hit]])], ["s", "key", "low"])
 
-    chunks = written(things.select("key", "sketch").mapInArrow(pack, "chunk long, v binary, twice binary, p0 binary, keys binary, same binary, n long"), "sketches")
+    chunks = written(things.select("key", "sketch").mapInArrow(pack, "chunk long, v0 binary, twice binary, p0 binary, keys binary, same binary, n long"), "sketches")
     met = repeated_values(chunks, chunks.agg(F.sum("n")).first()[0] or 0, 1)
-    found = written(chunks.join(met, "chunk").select("v", "keys", "same", "met").mapInArrow(members, "s long, key long, low long"), "sharing")
+    found = written(chunks.join(met, "chunk").select("v0", "keys", "same", "met").mapInArrow(members, "s long, key long, low long"), "sharing")
     dropped(chunks)
     return found
 
 
+def mixed(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members (s, key and more) with their class, and s, members c and largest class main of values that join things of
+    several classes. Written."""
+    each = members.drop("low").join(labels.select(F.col("id").alias("key"), "label"), "key", "left").withColumn("class", F.coalesce("label", "key")).drop("label")
+    each = written(each, "collision-classes")
+    parts = each.groupBy("s", "class").agg(F.count("*").alias("n"))
+    met = parts.groupBy("s").agg(F.sum("n").alias("c"), F.count("*").alias("classes"), F.max_by("class", "n").alias("main")).where("classes > 1")
+    return each, written(met.select("s", "c", "main"), "collision-values")
+
+
 def collisions(members: DataFrame, things: DataFrame, labels: DataFrame, bound: float, block: int = BLOCK) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of all things that share a value and that labels do not connect; members: s and key,
-    things: key, size and bag (null: no bound). Left out are only pairs that cannot be similar: of sizes, or folded
-    counts, that differ by more than bound of the larger size.
+    """Distinct pairs (a, b), a < b, of all things that share a value and that labels do not connect; things: key, size and
+    bag. Left out are only pairs that cannot be similar.
+
+    members: s and key; pairs are left out whose sizes, or folded counts, differ by more than bound of the larger size. If
+    members have pos, they are prefixes of sets, s a set's rarest elements and pos their places, from 0, among its
+    elements by falling rarity; then pairs are left out that after places so far back have too few elements left for a
+    Jaccard similarity of 1 - bound.
 
     A value's members are dealt into blocks by the hash of the key. Each is at home in one block, and those outside the
     value's largest class visit all its blocks, so that a large class costs a row a member."""
-    each = members.select("s", "key").join(labels.select(F.col("id").alias("key"), "label"), "key", "left").select("s", "key", F.coalesce("label", "key").alias("class"))
-    each = written(each, "collision-classes")
-    parts = each.groupBy("s", "class").agg(F.count("*").alias("n"))
-    met = parts.groupBy("s").agg(F.sum("n").alias("c"), F.count("*").alias("classes"), F.max_by("class", "n").alias("main")).where("classes > 1")
-    met = written(met.select("s", F.ceil(F.col("c") / block).cast("int").alias("blocks"), "main"), "collision-values")
-    own = written(each.join(met, "s").select("s", "key", "class", "blocks", "main"), "collision-members")
-    bags = written(own.join(things.select("key", "size", "bag"), "key"), "collision-bags")
+    each, met = mixed(members, labels)
+    values = met.select("s", F.ceil(F.col("c") / block).cast("int").alias("blocks"), "main")
+    by_place = "pos" in members.columns
+    most = 2 * (1 - bound) / (2 - bound)  # of the mean size: the least overlap
+    if by_place:
+        early = each.join(things.select("key", "size"), "key").where(F.col("pos") < F.col("size") - F.ceil(most * F.col("size") - 1e-9) + 1)
+        values = values.join(early.select("s").distinct(), "s", "left_semi")  # the smaller one of a pair has it early on
+    own = written(each.join(values, "s"), "collision-members")
+    more = [F.lit(None).cast("binary").alias("bag"), "pos"] if by_place else ["bag", F.lit(0).alias("pos")]
+    bags = written(own.join(things.select("key", "size", *([] if by_place else ["bag"])), "key").select("s", "key", "class", "blocks", "main", "size", *more), "collision-bags")
     other = F.col("class") != F.col("main")
-    homes = bags.select("s", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("visits"), "key", "class", other.alias("other"), "size", "bag")
-    visitors = bags.where(other).select("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visits"), "key", "class", F.lit(True).alias("other"), "size", "bag")
+    homes = bags.select("s", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("visits"), "key", "class", other.alias("other"), "size", "bag", "pos")
+    visitors = bags.where(other).select("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visits"), "key", "class", F.lit(True).alias("other"), "size", "bag", "pos")
     dealt = homes.unionByName(visitors).repartition("s", "block").sortWithinPartitions("s", "block", "visits")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,6 +109,7 @@ def collisions(members: DataFrame, things: DataFrame, labels: DataFrame, bound:
             if not batch.num_rows:
                 continue
             s, number, visits, key, of, rest, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            left_over = size - batch.column(8).to_numpy(zero_copy_only=False)
             bags = None if batch.column(7).null_count else np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16)
             new = (s[1:] != s[:-1]) | (number[1:] != number[:-1]) | (visits[1:] != visits[:-1])
             edges = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
@@ -100,12 +118,14 @@ def collisions(members: DataFrame, things: DataFrame, labels: DataFrame, bound:
                 if at != (s[lo], number[lo]):
                     at, home = (s[lo], number[lo]), []
                 if not visits[lo]:
-                    home.append((key[lo:hi], of[lo:hi], rest[lo:hi], size[lo:hi], None if bags is None else bags[lo:hi]))
+                    home.append((key[lo:hi], of[lo:hi], rest[lo:hi], size[lo:hi], left_over[lo:hi], None if bags is None else bags[lo:hi]))
                     continue
-                for (hk, ho, hr, hs, hb), i in ((x, i) for x in home for i in range(lo, hi, block)):
+                for (hk, ho, hr, hs, hl, hb), i in ((x, i) for x in home for i in range(lo, hi, block)):
                     end = min(hi, i + block)
                     limit = bound * np.maximum(hs[:, None], size[None, i:end]) + 1e-9
                     ok = (ho[:, None] != of[None, i:end]) & (~hr[:, None] | (hk[:, None] < key[None, i:end])) & (np.abs(hs[:, None] - size[None, i:end]) <= limit)
+                    if by_place:
+                        ok &= np.minimum(hl[:, None], left_over[None, i:end]) >= most / 2 * (hs[:, None] + size[None, i:end]) - 1e-9
                     x, y = np.nonzero(ok)
                     if len(x) and hb is not None and bags is not None:
                         apart = [hb[x[j : j + 65536]] - bags[i:end][y[j : j + 65536]] for j in range(0, len(x), 65536)]
@@ -121,12 +141,12 @@ def collisions(members: DataFrame, things: DataFrame, labels: DataFrame, bound:
     return pairs
 
 
-def classes(things: DataFrame, members: DataFrame, verify: Verify, bound: float, block: int = BLOCK) -> DataFrame:
-    """(id, label) of every thing with a link, label the least key of its class; things: key, size and bag, members:
-    what sharing says of their sketches.
+def classes(members: DataFrame, verify: Verify, collide: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """(id, label) of every thing with a link, label the least key of its class; members: what sharing says of their
+    sketches.
 
-    verify takes pairs (a, b) and returns, as a written table, those that are links. Candidates are things that share a
-    value of their sketches, all of them: none is left out but by bound (see collisions)."""
+    verify takes pairs (a, b) and returns, as a written table, those that are links. collide takes members and labels and
+    returns, as a written table, the pairs that may be links beside those that labels connect (see collisions)."""
     stars = written(members.where("key != low").groupBy(F.col("low").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("n")), "stars")
     first = written(stars.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "stars-first")
     links = verify(first)
@@ -134,7 +154,7 @@ def classes(things: DataFrame, members: DataFrame, verify: Verify, bound: float,
     rest = written(relabelled(stars.select("a", "b").join(first, ["a", "b"], "left_anti"), first_label).where("la != lb").select("a", "b"), "stars-rest")
     more = verify(rest)
     label = extended(first_label, more)
-    left = collisions(members, things, label, bound, block)
+    left = collide(members, label)
     last = verify(left)
     whole = extended(label, last)
     dropped(first_label, label, stars, first, rest, left, links, more, last)

@@ -3,8 +3,10 @@
 A paragraph is a line of MIN_WORDS words or more, or a block of successive shorter lines up to a blank or long one, so
 that hard-wrapped text counts too. Its MinHash over runs of five words is cut into bands, as many and as long as the wanted
 recall at the threshold asks for; paragraphs that collide in a band are joined and verified by the exact Jaccard
-similarity of their runs (graphlane.llm.linking), and the components of verified links are the clusters. The first
-occurrence of a cluster stays, the others go. Equal paragraphs are one from the start.
+similarity of their runs (graphlane.llm.linking), and the components of verified links are the clusters. Where paragraphs
+that no link connects crowd a band (all that embed one passage), they are joined once more by their rarest runs, of
+which similar ones have one in common. The first occurrence of a cluster stays, the others go. Equal paragraphs are one
+from the start.
 
 Passages also repeat inside longer paragraphs and across them. There the words choose where paragraphs begin: a word pair
 with the least hash of PICK successive ones begins a window of WINDOW words. Any run of WINDOW + PICK - 1 = 51 words
@@ -32,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from graphlane.llm.common import dropped, pieces_of, text_or_empty, type_of, written
 from graphlane.llm.hashing import BASE, INVERSE, grams, mix, powers, word_hashes
-from graphlane.llm.linking import bags, classes, sharing
+from graphlane.llm.linking import classes, collisions, mixed, sharing
 from graphlane.llm.packed import met_in, once_each, press, repeated_values, unpress
 from graphlane.plans.components import components
 
@@ -136,21 +138,21 @@ class _Chunk:
         owner, at, value = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         value = value & np.uint64(mask)
         payload = [np.array(self.ranks, np.int64)[owner], np.array(self.keys, np.int64)[owner], at]
-        first, twice, same = once_each(value, payload)
+        first, twice, same = once_each([value], payload)
         blob = zstandard.ZstdCompressor(level=6).compress("\n".join(self.words).encode())
         return chunk, blob, self.keys, self.ids, value[first].tobytes(), np.packbits(twice).tobytes(), *(press(p[first]) for p in payload), press(owner), press(at), press(same), len(first)
 
 
 def _split(df: DataFrame, id_col: str, text_col: str, similarity: float, min_words: int, mask: int) -> DataFrame:
-    """Written: rows of chunks (chunk, blob, keys, ids, v, twice, p0, p1, p2, owner, at, same, n) and rows of paragraphs
-    (key, doc, id, line, start, n_words, digest, sketch, size, bag)."""
+    """Written: rows of chunks (chunk, blob, keys, ids, v0, twice, p0, p1, p2, owner, at, same, n) and rows of paragraphs
+    (key, doc, id, line, start, n_words, digest, sketch, size)."""
     bands, rows = tuned_bands(similarity, RECALL)
     seeds = np.random.Generator(np.random.PCG64(11)).integers(1, 2**31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     kind = type_of(df, id_col)
     whole = kind in ("tinyint", "smallint", "int", "bigint")
     rank = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)) if whole else F.when(F.col(id_col).isNull(), 1).otherwise(0).cast("long")
-    head = f"chunk long, blob binary, keys array<long>, ids array<{kind}>, v binary, twice binary, p0 binary, p1 binary, p2 binary, owner binary, at binary, same binary, n long"
-    body = f"key long, doc long, id {kind}, line int, start int, n_words int, digest binary, sketch binary, size int, bag binary"
+    head = f"chunk long, blob binary, keys array<long>, ids array<{kind}>, v0 binary, twice binary, p0 binary, p1 binary, p2 binary, owner binary, at binary, same binary, n long"
+    body = f"key long, doc long, id {kind}, line int, start int, n_words int, digest binary, sketch binary, size int"
     n_head, n_body = head.count(",") + 1, body.count(",") + 1
     schema = to_arrow_schema(T.StructType.fromDDL(f"{head}, {body}"))
 
@@ -203,11 +205,10 @@ def _split(df: DataFrame, id_col: str, text_col: str, similarity: float, min_wor
                     reps = np.fromiter(place.values(), np.int64, len(place))
                     m = n_words[reps]
                     g, size = shingles(h[np.repeat(at[reps] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))], m)
-                    sketch, counted = band_values(g, size, bands, rows, seeds), bags(g, size)
+                    sketch = band_values(g, size, bands, rows, seeds)
                     sketches, sizes = dict(zip(place, (x.tobytes() for x in sketch), strict=True)), dict(zip(place, size.tolist(), strict=True))
-                    bag_of = dict(zip(place, counted, strict=True))
                     start = at - (ends - lens)[text[at]]
-                    yield table([(key + i, first_doc + t, ids[t], x, s, w, d, sketches[d], sizes[d], bag_of[d]) for i, (t, x, s, w, d) in enumerate(zip(text[at].tolist(), line[at].tolist(), start.tolist(), n_words.tolist(), digests, strict=True))], n_head, n_body)
+                    yield table([(key + i, first_doc + t, ids[t], x, s, w, d, sketches[d], sizes[d]) for i, (t, x, s, w, d) in enumerate(zip(text[at].tolist(), line[at].tolist(), start.tolist(), n_words.tolist(), digests, strict=True))], n_head, n_body)
                     key += len(at)
 
                 owner, place_, value = windows(h, lens)
@@ -294,8 +295,31 @@ def _paragraphs(found: DataFrame, members: DataFrame, reps: DataFrame, cut: Data
             ok = pa.array([jaccard(x.split(), y.split()) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
-    # of two sets the larger one lacks at most this share of its size if their Jaccard similarity is enough
-    label = classes(found, members, verify, 1 / similarity - 1)
+    def crowded(members: DataFrame, label: DataFrame) -> DataFrame:
+        """Pairs among paragraphs in bands of several classes that have one of their rarest runs in common: of n runs the
+        n - similarity * n + 1 rarest, which any two similar ones do."""
+        each, met = mixed(members, label)
+        keys = each.join(met.select("s"), "s", "left_semi").select("key").distinct()
+        own = written(words.join(keys.hint("merge"), "key", "left_semi").mapInArrow(runs_of, "key long, h array<long>"), "paragraph-runs")
+        one = own.select("key", F.explode("h").alias("h"))
+        often = one.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+        # a paragraph has as many runs as words
+        ordered = one.join(often, "h", "left").groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "h"))).alias("o"))
+        sized = written(ordered.withColumn("size", F.size("o")), "paragraph-order")
+        prefix = F.slice("o", 1, (F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1).cast("int"))
+        rare = sized.select("key", F.posexplode(prefix).alias("pos", "x")).where("x.c > 1").select(F.col("x.h").alias("s"), "key", "pos")
+        pairs = collisions(rare, sized.select("key", "size"), label, 1 - similarity)
+        dropped(each, met, own, sized)
+        return pairs
+
+    def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [t.split() for t in batch.column(1).to_pylist()]
+            lens = np.fromiter(map(len, own), np.int64, len(own))
+            g, n = shingles(word_hashes([w.encode() for t in own for w in t]), lens) if len(own) else (np.zeros(0, np.uint64), lens)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(g.view(np.int64)))], ["key", "h"])
+
+    label = classes(members, verify, crowded)
     labelled = written(reps.join(label, reps["key"] == label["id"], "left").select("digest", "best", "times", F.coalesce("label", "key").alias("cluster")), "paragraph-labels")
     sizes = labelled.groupBy("cluster").agg(F.min("best").alias("first"), F.sum("times").alias("size")).where("size > 1")
     whole = written(labelled.join(sizes, "cluster").select("digest", "cluster", F.col("first.id").alias("keep_id"), F.col("first.key").alias("keep"), "size"), "paragraph-clusters")
@@ -307,24 +331,26 @@ def _settled(chunks: DataFrame, runs: DataFrame, cut: DataFrame) -> DataFrame:
     """Written: (doc, id, at, n, from_doc, from_at, kept) of stretches that really occur elsewhere: those that go with
     their first occurrences, and these, kept.
 
-    Stretches whose words have another digest than those of their first occurrence are false: their windows are matched
-    anew among themselves, by the digests of their words."""
+    Stretches whose words have another digest than those of their first occurrence are false: their windows and those
+    that they were taken for are matched anew, by the digests of their words."""
     digests = cut.where("digest is not null").select("doc", "start", "n", "digest")
     own = digests.select("doc", F.col("start").alias("at"), "n", F.col("digest").alias("own"))
     first = digests.select(F.col("doc").alias("from_doc"), F.col("start").alias("from_at"), "n", F.col("digest").alias("theirs"))
     moved = runs.where("doc != from_doc or at != from_at")
-    judged = written(moved.join(own, ["doc", "at", "n"]).join(first, ["from_doc", "from_at", "n"]).withColumn("true", F.col("own") == F.col("theirs")).drop("own", "theirs"), "passage-judged")
+    judged = written(moved.join(own, ["doc", "at", "n"]).join(first, ["from_doc", "from_at", "n"]).withColumn("equal", F.col("own") == F.col("theirs")).drop("own", "theirs"), "passage-judged")
     columns = ["doc", "id", "at", "n", "from_doc", "from_at"]
-    others = judged.where("true").select(*columns)
-    wrong = judged.where("not true").select("doc", "id", F.explode("places").alias("at")).withColumn("n", F.lit(WINDOW))
+    others = judged.where("equal").select(*columns)
+    ids = chunks.select(F.explode(F.arrays_zip("keys", "ids")).alias("k")).select(F.col("k.keys").alias("doc"), F.col("k.ids").alias("id"))
+    wrong = judged.where("not equal").select("doc", F.explode("places").alias("w"), "at", "from_doc", "from_at")
     if wrong.limit(1).count():
-        again = cuts(chunks, wrong.select("doc", F.col("at").alias("start"), "n", F.lit(False).alias("whole")))
-        told = wrong.join(again.select("doc", F.col("start").alias("at"), "digest"), ["doc", "at"])
+        taken_for = wrong.select(F.col("from_doc").alias("doc"), (F.col("from_at") + F.col("w") - F.col("at")).alias("at"))
+        places = written(wrong.select("doc", F.col("w").alias("at")).unionByName(taken_for).distinct(), "passage-wrong")
+        again = cuts(chunks, places.select("doc", F.col("at").alias("start"), F.lit(WINDOW).alias("n"), F.lit(False).alias("whole")))
+        told = places.join(ids, "doc").join(again.select("doc", F.col("start").alias("at"), "n", "digest"), ["doc", "at"])
         place = F.struct(F.col("id").isNull().alias("no_id"), "id", "doc", "at")
-        true = written(told.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1"), "passage-again")
-        anew = told.join(true, "digest").withColumns({"from_doc": F.col("first.doc"), "from_at": F.col("first.at")}).select(*columns)
+        first_of = written(told.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1"), "passage-again")
+        anew = told.join(first_of, "digest").withColumns({"from_doc": F.col("first.doc"), "from_at": F.col("first.at")}).select(*columns)
         others = others.unionByName(anew.where("doc != from_doc or at != from_at"))
-    ids = chunks.select(F.explode(F.arrays_zip("keys", "ids")).alias("k")).select(F.col("k.keys").alias("doc"), F.col("k.ids").alias("id"))
     named = others.select(F.col("from_doc").alias("doc"), F.col("from_at").alias("at"), "n").distinct()
     firsts = named.join(ids, "doc").withColumns({"from_doc": F.col("doc"), "from_at": F.col("at")}).select(*columns)
     found = written(others.withColumn("kept", F.lit(False)).unionByName(firsts.withColumn("kept", F.lit(True))), "passage-stretches")
