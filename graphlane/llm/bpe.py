@@ -3,7 +3,8 @@
 Texts are split into words chunk by chunk. A chunk keeps, for each of its documents, the numbers of its words in text
 order (packed) and sends each distinct word once, packed by hash bucket, to the bucket's task; there equal words of
 all chunks meet and each is encoded once. The ids go back to their chunks by bucket and position, where documents are
-put together. Decoding goes from ids to pieces through the vocabulary, which has a fixed size.
+put together. To decode, a chunk's distinct ids are joined with the table of ids and pieces (an Arrow hash join; the
+table is the vocabulary, whose size is fixed), each distinct word becomes its pieces, and documents are strung from these.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlane.llm.common import type_of, written
+from graphlane.llm.common import pieces_of, type_of, written
 
 CHUNK_BYTES = 32 << 20
 GPT2_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -75,12 +77,12 @@ class Vocabulary:
         # newer letters than the tokenizer's tables know split differently, so such texts go to its own splitter
         self.rare = re.compile("[^\x00-՗]").search
         added = [t["content"] for t in json.loads(source).get("added_tokens", [])]
-        self.special = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
+        # where several begin at one place the longest counts
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         byte_of = {c: b for b, c in _byte_letters().items()}
-        self.pieces = []
-        for i in range(self.tokenizer.get_vocab_size()):
-            token = self.tokenizer.id_to_token(i)
-            self.pieces.append(token.encode() if token in added else bytes(byte_of[c] for c in token))
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        pieces = [t.encode() if t in added else bytes(byte_of[c] for c in t) for t in vocabulary]
+        self.pieces = pa.table({"id": pa.array(vocabulary.values(), pa.uint32()), "piece": pa.array(pieces, pa.binary())})
 
     @classmethod
     def of(cls, source: str) -> "Vocabulary":
@@ -140,12 +142,13 @@ def _split(batches: Iterator[pa.RecordBatch], source: str, schema: pa.Schema, bu
         return pa.RecordBatch.from_pylist([_chunk(task, number, ids, docs, words, buckets)], schema)
 
     for batch in batches:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        lens = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+        for i, n_bytes, text in zip(batch.column(0).to_pylist(), lens, (t for _, part in pieces_of(batch.column(1)) for t in part), strict=True):
             add = words.setdefault
             found = vocabulary.split(text) if text else []
             docs.append(np.fromiter([add(w, len(words)) for w in found], np.uint32, len(found)))
             ids.append(i)
-            size += len(text or "") + 64
+            size += n_bytes + 64
             if size >= chunk_bytes:
                 yield flush()
                 number, ids, docs, words, size = number + 1, [], [], {}, 0
@@ -154,22 +157,35 @@ def _split(batches: Iterator[pa.RecordBatch], source: str, schema: pa.Schema, bu
 
 
 def _encode(batches: Iterator[pa.RecordBatch], source: str) -> Iterator[pa.RecordBatch]:
-    """Rows of packed words to rows of packed ids; each word of the task's buckets is encoded once."""
-    vocabulary, known = Vocabulary.of(source), {}
+    """Rows of packed words, sorted by bucket, to rows of packed ids; each distinct word of a bucket is encoded once."""
+    vocabulary, known, last = Vocabulary.of(source), {}, None
     for batch in batches:
-        for chunk, bucket, lens, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for k in range(batch.num_rows):
+            chunk, bucket, lens, packed = (c[k].as_py() for c in batch.columns)
+            if bucket != last:
+                known, last = {}, bucket
             ends = np.cumsum(unpack(lens)).tolist()
             raw = zstandard.ZstdDecompressor().decompress(packed)
             own = [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
             new = [w for w in own if w not in known]
-            for k in range(0, len(new), 20_000):
-                part = new[k : k + 20_000]
+            for at in range(0, len(new), 20_000):
+                part = new[at : at + 20_000]
                 known.update((w, np.array(x, np.uint32).tobytes()) for w, x in zip(part, vocabulary.encode([w.decode() for w in part]), strict=True))
             coded = [known[w] for w in own]
             n_ids = pack(np.fromiter(map(len, coded), np.uint32, len(coded)) // 4)
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "bucket": pa.array([bucket], pa.int32()), "n_ids": pa.array([n_ids], pa.binary()), "word_ids": pa.array([pack(np.frombuffer(b"".join(coded), "<u4"))], pa.binary())})
 
 
+def decoded_words(ids: np.ndarray, n: np.ndarray, pieces: pa.Table) -> list[bytes]:
+    """Of each word, n ids of ids, the bytes that its pieces make: the distinct ids are joined with the table of pieces."""
+    distinct, place = np.unique(ids, return_inverse=True)
+    joined = pa.table({"id": pa.array(distinct, pa.uint32())}).join(pieces, "id", join_type="left outer").sort_by("id")
+    own = joined.column("piece").to_pylist()
+    piece = [own[i] for i in place.tolist()]
+    ends = np.cumsum(n).tolist()
+    return [piece[b - 1] if b - a == 1 else b"".join(piece[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def _assemble(batches: Iterator[pa.RecordBatch], source: str, digests: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     pieces = Vocabulary.of(source).pieces
     for batch in batches:
@@ -179,24 +195,26 @@ def _assemble(batches: Iterator[pa.RecordBatch], source: str, digests: bool, sch
             parts = sorted(x["parts"] or [], key=lambda p: p["bucket"])
             lens = np.concatenate([np.zeros(0, np.uint32), *(unpack(p["n_ids"]) for p in parts)]).astype(np.int64)
             flat = np.concatenate([np.zeros(0, np.uint32), *(unpack(p["word_ids"]) for p in parts)])
+            words = decoded_words(flat, lens, pieces)
             by = np.argsort(bucket, kind="stable")
-            n_of, at_of = np.empty(len(by), np.int64), np.empty(len(by), np.int64)
-            n_of[by], at_of[by] = lens, np.cumsum(lens) - lens
-            start, out = 0, []
+            n_of, at_of, place = np.empty(len(by), np.int64), np.empty(len(by), np.int64), np.empty(len(by), np.int64)
+            n_of[by], at_of[by], place[by] = lens, np.cumsum(lens) - lens, np.arange(len(by))
+            start, out, held = 0, [], 0
             for i, n in zip(x["ids"], x["n_words"], strict=True):
                 own = idx[start : start + n]
                 start += n
                 count = n_of[own]
                 total = int(count.sum())
                 ids = flat[np.repeat(at_of[own] - (np.cumsum(count) - count), count) + np.arange(total)]
-                text = b"".join([pieces[t] for t in ids.tolist()]).decode("utf-8", "replace")
+                text = b"".join([words[w] for w in place[own].tolist()]).decode("utf-8", "replace")
                 if digests:
                     out.append((i, total, hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
                 else:
                     out.append((i, total, ids.tolist(), text))
-                if len(out) == 2000:
+                    held += total
+                if len(out) == 2000 or held > 1 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                    out = []
+                    out, held = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
@@ -207,7 +225,8 @@ def encode_and_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     vocabulary: the path of a byte-level BPE file of the tokenizers library on the driver, which sends it to executors
     (its size is fixed). Special tokens in a text become their ids and no others are added. A null text counts as
     empty and has no tokens; rows that repeat an id are encoded each; an empty table gives an empty result; other
-    columns are ignored. A text longer than chunk_bytes is a chunk of its own."""
+    columns are ignored. A chunk ends with the text that brings it
+    to chunk_bytes, so a longer text closes its chunk."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -217,8 +236,8 @@ def encode_and_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets, kind = int(spark.conf.get("spark.sql.shuffle.partitions")), type_of(df, id_col)
     head = f"chunk long, ids array<{kind}>, n_words array<int>, idx binary, rare binary, buckets binary, packed array<struct<bucket: int, lens: binary, words: binary>>"
     schema = to_arrow_schema(StructType.fromDDL(head))
-    chunks = written(df.select(F.col(id_col), F.col(text_col)).mapInArrow(lambda it: _split(it, source.value, schema, buckets, chunk_bytes), head), "bpe-chunks", **{"parquet.block.size": str(32 << 20)})
-    words = chunks.select("chunk", F.explode("packed").alias("p")).select("chunk", "p.*").repartition("bucket")
+    chunks = written(df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(lambda it: _split(it, source.value, schema, buckets, chunk_bytes), head), "bpe-chunks", **{"parquet.block.size": str(32 << 20)})
+    words = chunks.select("chunk", F.explode("packed").alias("p")).select("chunk", "p.*").repartition("bucket").sortWithinPartitions("bucket")
     coded = words.mapInArrow(lambda it: _encode(it, source.value), "chunk long, bucket int, n_ids binary, word_ids binary")
     parts = coded.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n_ids", "word_ids")).alias("parts"))
     out = f"`{id_col}` {kind}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
