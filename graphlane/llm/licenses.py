@@ -1,32 +1,35 @@
 """Licence scan: TF-IDF cosine to templates, then inheritance from the nearest licensed directory.
 
-Template words get their document frequencies from the whole corpus. In each text, stretches of lines that hold a
-marker word of licences (headers, wherever they stand), and the whole of a short text or one named like a licence
-file, are compared with the templates by the cosine of sparse TF-IDF vectors. Files without a licence of their own take
-that of the nearest directory above them that has a licence file: directories are joined with their ancestors, then
-files with directories.
+Templates are short notices and the whole texts of licences (folder licence_texts). Template words get their document
+frequencies from the whole corpus. A template slides over a text as a window of its own number of words, whatever the
+line breaks, so what stands before or after a notice doesn't matter; the text's similarity is that of its best window,
+and the whole text is compared too. A text is only looked at closely for templates that it can reach: the squared weights
+of the template's words that it holds bound the cosine of any window, so nothing within the threshold is passed over.
+Files without a licence of their own take that of the nearest directory above them that has a licence file: directories
+are joined with their ancestors, then files with directories.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlane.llm.common import text_or_empty, type_of, written
+from graphlane.llm.common import pieces_of, text_or_empty, type_of, written
 
 THRESHOLD = 0.6
 WHOLE = 0.9
-FILE_WORDS = 400
 SPDX = "spdx license identifier"
 FILE_NAMES = r"(?i)^(un)?licen[cs]e(\.\w+)?$|^copying(\.\w+)?$|^notice(\.\w+)?$"
-MARKERS = frozenset("license licence licensed licensing copyright copyrighted spdx released redistribution warranty gpl lgpl agpl apache mit bsd mpl cc0 gnu unlicense".split())
-TEMPLATES = {
+#: Short notices, as they stand in headers and tags.
+NOTICES = {
     "Apache-2.0": [
         "licensed under the apache license version 2.0",
         "apache license version 2.0 january 2004",
@@ -93,80 +96,112 @@ TEMPLATES = {
     ],
 }
 words_of = re.compile(r"[^\W_]+(?:\.\d+)*").findall
-_marked = re.compile(r"(?i)\b(?:" + "|".join(sorted(MARKERS)) + r"|cc)\b").search
 
 
-class Templates:
-    """Unit TF-IDF vectors of the notices of each licence, with and without an SPDX tag before short names."""
+def licence_texts() -> dict[str, str]:
+    """The whole texts of licences, by name."""
+    folder = os.path.join(os.path.dirname(os.path.abspath(__file__)), "licence_texts")
+    found = {}
+    for name in sorted(os.listdir(folder)):
+        with open(os.path.join(folder, name), encoding="utf-8") as f:
+            found[name.removesuffix(".txt")] = f.read()
+    return found
 
-    def __init__(self, templates: dict[str, list[str]], n_docs: int, df: dict[str, int]) -> None:
-        self.idf = {w: math.log((n_docs + 1) / (df.get(w, 0) + 1)) + 1 for notices in templates.values() for t in notices for w in words_of(f"{SPDX} {t}".lower())}
-        self.rare = math.log(n_docs + 1) + 1
-        self.vectors = [(name, self.vector(part)) for name, notices in templates.items() for t in notices for part in ((t,) if len(t.split()) > 3 else (f"{SPDX} {t}",))]
 
-    def vector(self, text: str) -> dict[str, float]:
-        count = Counter(words_of(text.lower()))
-        v = {w: c * self.idf.get(w, self.rare) for w, c in count.items()}
-        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
-        return {w: x / norm for w, x in v.items()}
+def all_templates(notices: dict[str, list[str]], bodies: dict[str, str]) -> list[tuple[str, list[str]]]:
+    """(licence, words) of each template; a notice of three words or fewer counts with an SPDX tag before it only."""
+    found = [(name, words_of(t.lower())) for name, own in notices.items() for t in own]
+    found = [(name, w if len(w) > 3 else [*words_of(SPDX), *w]) for name, w in found]
+    return found + [(name, words_of(t.lower())) for name, t in bodies.items()]
 
-    def best(self, text: str) -> tuple[float, str]:
-        v = self.vector(text)
-        return max(((sum(x * v.get(w, 0.0) for w, x in t.items()), name) for name, t in self.vectors), key=lambda p: (round(p[0], 9), p[1]))
 
+def _grown(n: int) -> float:
+    return 1 + math.log(n) if n else 0.0
 
-def headers(text: str) -> list[str]:
-    """Stretches of successive lines that hold a marker word, and each of their lines."""
-    out, held = [], []
-    for line in [*text.split("\n"), ""]:
-        if _marked(line):
-            held.append(line)
-        elif held:
-            out += held if len(held) == 1 else [*held, "\n".join(held)]
-            held = []
-    return out
 
+class Templates:
+    """TF-IDF vectors with logarithmic term frequencies. A word of no template weighs as one that all texts hold."""
+
+    def __init__(self, templates: list[tuple[str, list[str]]], n_docs: int, df: dict[str, int], threshold: float) -> None:
+        self.names, self.sizes, self.threshold = [t[0] for t in templates], [len(t[1]) for t in templates], threshold
+        self.idf = {w: math.log((n_docs + 1) / (df.get(w, 0) + 1)) + 1 for _, words in templates for w in words}
+        self.number = {w: k for k, w in enumerate(self.idf)}
+        self.vectors = [self.vector(words) for _, words in templates]
+        self.squares = np.zeros((len(self.idf), len(templates)), np.float32)
+        for k, v in enumerate(self.vectors):
+            for w, x in v.items():
+                self.squares[self.number[w], k] = x * x
+
+    def vector(self, words: list[str]) -> dict[str, float]:
+        v = {w: _grown(c) * self.idf.get(w, 1.0) for w, c in Counter(words).items()}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {w: x / norm for w, x in v.items()}
 
-def license_scan(df: DataFrame, path_col: str, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    def cosine(self, k: int, words: list[str]) -> float:
+        """Of template k and the best window of its length in the words."""
+        template, size, idf = self.vectors[k], self.sizes[k], self.idf
+        count: dict[str, int] = {}
+        dot = norm = best = 0.0
+        for at, w in enumerate(words):
+            for x, step in ((w, 1), (words[at - size], -1)) if at >= size else ((w, 1),):
+                c = count.get(x, 0)
+                count[x] = c + step
+                before, after, weight = _grown(c), _grown(c + step), idf.get(x, 1.0)
+                dot += (after - before) * weight * template.get(x, 0.0)
+                norm += (after * after - before * before) * weight * weight
+            if (at >= size - 1 or at == len(words) - 1) and norm > 1e-9 and dot > best * math.sqrt(norm):
+                best = dot / math.sqrt(norm)
+        return best
+
+    def judge(self, text: str) -> tuple[float, str, float]:
+        """(similarity, licence) of the best template, and the similarity of the text as a whole to its best one; of
+        equal ones that whose name sorts last."""
+        words = words_of(text.lower())
+        held = [self.number[w] for w in self.number.keys() & set(words)]
+        near = np.flatnonzero(self.squares[held].sum(axis=0) >= self.threshold**2 - 1e-5).tolist() if held else []
+        if not near:
+            return 0.0, "", 0.0
+        v = self.vector(words)
+        whole = {k: sum(x * v.get(w, 0.0) for w, x in self.vectors[k].items()) for k in near}
+        best, name = max(((max(whole[k], self.cosine(k, words)), self.names[k]) for k in near), key=lambda p: (round(p[0], 9), p[1]))
+        return best, name, max(whole.values())
+
+
+def license_scan(df: DataFrame, path_col: str, id_col: str = "doc_id", text_col: str = "text", notices: dict[str, list[str]] = NOTICES, bodies: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of df: id, path, license, score, how, from_dir.
 
-    how: 'header' (a notice inside the text), 'file' (a text of at most 400 words whose whole has a cosine of 0.9, or one named
-    like a licence file), 'inherited' from from_dir, or 'none' (license null). Of notices the most similar counts; ties go
-    to the name that sorts last. A directory with several licence files has that with the least path, then name. Null
-    paths belong to no directory and inherit nothing; null and empty texts have no notice; rows that repeat are judged
-    each; an empty table gives an empty result; other columns are ignored."""
+    score is the cosine of the best template (of those that can reach the threshold at all, else 0). how: 'header' (a
+    notice or licence text somewhere in the text), 'file' (the whole text has a cosine of 0.9, or it is named like a
+    licence file), 'inherited' from from_dir, or 'none' (license null). Of equal scores that of the name that sorts last
+    counts. A directory with several licence files has that with the least path, then name. Null paths belong to no
+    directory and inherit nothing; null and empty texts have no notice; texts of any length are searched whole; rows that
+    repeat are judged each; an empty table gives an empty result; other columns are ignored."""
     spark, kind = df.sparkSession, type_of(df, id_col)
-    vocabulary = frozenset(w for notices in templates.values() for t in notices for w in words_of(f"{SPDX} {t}".lower()))
+    templates = all_templates(notices, licence_texts() if bodies is None else bodies)
+    vocabulary = frozenset(w for _, words in templates for w in words)
     texts = df.select(F.col(id_col), F.col(path_col).cast("string").alias("path"), text_or_empty(text_col).alias("t"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = Counter(), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(vocabulary.intersection(words_of(text.lower())))
-                n += 1
+            for _, part in pieces_of(batch.column(0)):
+                for text in part:
+                    seen.update(vocabulary.intersection(words_of(text.lower())))
+                    n += 1
         yield pa.RecordBatch.from_arrays([pa.array(["", *seen], pa.string()), pa.array([n, *seen.values()], pa.int64())], ["word", "n"])
 
     counts = {r[0]: r[1] for r in texts.select("t").mapInArrow(frequencies, "word string, n long").groupBy("word").agg(F.sum("n")).collect()}  # a row for each template word
-    known = spark.sparkContext.broadcast(Templates(templates, counts.get("", 0), counts))
+    known = spark.sparkContext.broadcast(Templates(templates, counts.get("", 0), counts, threshold))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         named = re.compile(FILE_NAMES).search
         for batch in batches:
             out = []
-            for path, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                best, how = (0.0, ""), "none"
-                is_file = bool(path and named(path.rsplit("/", 1)[-1]))
-                if _marked(text):
-                    best = max((known.value.best(x) for x in headers(text)), default=best, key=lambda p: (round(p[0], 9), p[1]))
-                    how = "header"
-                    if is_file or text.count(" ") < FILE_WORDS:
-                        whole = known.value.best(text)
-                        is_file = is_file or whole[0] >= WHOLE
-                        best = max(best, whole)
-                    if is_file:
-                        how = "file"
-                out.append((best[1], best[0], how) if best[0] >= threshold else (None, best[0], "none"))
+            for start, part in pieces_of(batch.column(2)):
+                for path, text in zip(batch.column(1).slice(start, len(part)).to_pylist(), part, strict=True):
+                    best, name, whole = known.value.judge(text)
+                    is_file = whole >= WHOLE or bool(path and named(path.rsplit("/", 1)[-1]))
+                    out.append((name, best, "file" if is_file else "header") if best >= threshold else (None, best, "none"))
             columns = list(zip(*out, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.string()), strict=True))], ["id", "path", "own", "score", "how"])
 

@@ -50,7 +50,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text")
+    """The documents as files of a tree: corpus / runs of 256 ids / runs of 16 ids. The first id of a folder is its
+    LICENSE, whatever it holds, so that what lies below inherits the licences that these have."""
+    name = F.expr("if(doc_id % 16 = 0, 'LICENSE', cast(doc_id as string))")
+    folders = F.expr("if(doc_id % 256 = 0, concat('run', doc_id div 256), concat('run', doc_id div 256, '/part', doc_id div 16))")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", F.lit("corpus"), folders, name).alias("path"), "text")
     return license_scan(docs, "path")
 
 
