@@ -4,8 +4,9 @@ Every shard has some virtual nodes on a ring of cells. A row falls on the cell o
 next virtual node clockwise; a shard takes no more than its load, and what it can't take continues clockwise to the
 next other shard that has room. Rows of one arc, the stretch up to a virtual node, meet the same shards in the same
 order, so how many rows of each arc end in each shard follows from the arcs' row counts alone: a table of fixed size
-that a fold in SQL works out. A row then only needs its rank within its arc, which comes from ranks in small hash
-buckets and the counts before them.
+that a fold in SQL works out. A row then only needs its rank within its arc, which comes from ranks in small buckets and
+the counts before them. A bucket is chosen by the id and by the task that read the row, so that rows without an id, or
+with one and the same, are ranked in as many tasks as others.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphlane.llm.common import text_or_empty
+from graphlane.llm.common import text_or_empty, written
 
 CELLS = 4096
 VNODES = 64
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 20_000
 
 
 def ring(shards: int, vnodes: int) -> tuple[list[int], list[list[int]]]:
@@ -53,19 +54,20 @@ def consistent_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The load bound is as tight as it can be (n / shards, one more for the first n mod shards), so the counts of any two
     shards differ by at most one: law 'rows'; grown_shard is null under that law. slot numbers the rows of a shard from
-    0. A null text has size 1 and crc32 0; null ids share a place on the ring; rows that repeat an id and text are
-    ranked one after the other, and which is which doesn't show. An empty table gives an empty result; other columns
+    0. A null text has size 1 and crc32 0; null ids share a place on the ring; of rows that repeat an id and text it
+    doesn't show which is which. An empty table gives an empty result; other columns
     are ignored. Adding a shard moves what its own virtual nodes take over and what the lower bounds push on."""
+    text = text_or_empty(text_col)
+    read = df.select(F.col(id_col), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.spark_partition_id().alias("gl_task"))
+    df = written(read, "shard-rows")  # the tasks' numbers must be the same in both readings
     n = df.count()
-    buckets = 1
-    while n > buckets * BUCKET_ROWS * shards * vnodes // 4:
-        buckets *= 2
+    buckets = -(-n // BUCKET_ROWS) or 1
     arcs, order = ring(shards, vnodes)
     n_arcs, prefs = len(order), _ints([s for o in order for s in o])
     place = F.xxhash64(F.col(id_col))
     cell = F.pmod(F.shiftrightunsigned(place, 20), F.lit(CELLS))
     arc = F.element_at(F.expr(_ints(arcs)), (cell + 1).cast("int"))
-    group = (arc.cast("long") * buckets + F.pmod(place, F.lit(buckets))).alias("grp")
+    group = (arc.cast("long") * buckets + F.pmod(F.xxhash64(F.col(id_col), F.col("gl_task")), F.lit(buckets))).alias("grp")
 
     counts = df.select(group).groupBy("grp").agg(F.count("*").alias("n")).withColumn("arc", F.expr(f"grp div {buckets}").cast("int"))
     before = Window.partitionBy("arc").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,8 +91,7 @@ def consistent_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = F.sum("take").over(Window.partitionBy("shard").orderBy("round", "arc")) - F.col("take")
     spans = taken.select(F.col("arc").alias("of_arc"), "shard", lo.alias("lo"), (lo + F.col("take")).alias("hi"), base.alias("base"))
 
-    text = text_or_empty(text_col)
-    rows = df.select(F.col(id_col), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), group)
+    rows = df.select(id_col, "size", "text_crc32", group)
     ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("grp").orderBy(id_col, "text_crc32", "size")))
     placed = ranked.join(offsets, "grp").withColumn("rank", F.col("before") + F.col("rn") - 1)
     # the spans have at most shards * arcs rows, whatever the data
