@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from graphlane.llm.common import dropped, pieces_of, text_or_empty, written
 from graphlane.llm.hashing import BASE, grams, mix, word_hashes
-from graphlane.llm.linking import bags, classes, sharing
+from graphlane.llm.linking import bags, classes, collisions, sharing
 
 M = 64
 SIMILARITY = 0.8
@@ -211,7 +211,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, similarity: float) -> tu
         return links
 
     members = sharing(things)
-    label = classes(things, members, verify, 1 - similarity)
+    label = classes(members, verify, lambda m, known: collisions(m, own, known, 1 - similarity))
     joined = written(reps.join(label, reps["key"] == label["id"], "left").select("gl_digest", "best", "n", F.coalesce("label", "key").alias("label")), "omh-classes")
     whole = joined.groupBy("label").agg(F.min("best").alias("class_best"), F.sum("n").alias("class_size"))
     whole = written(joined.join(whole, "label").select("gl_digest", "class_best", "class_size"), "omh-members")

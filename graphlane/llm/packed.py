@@ -32,14 +32,21 @@ def unpress(blob: bytes, kind) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel(), dtype=kind)
 
 
-def first_of_each(values: np.ndarray, payload: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+Halves = list[np.ndarray]  # a value's 64-bit integers: one or two
+
+
+def first_of_each(values: Halves, payload: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Rows sorted by value and payload, and where each value begins among them."""
-    by = np.lexsort((*payload[::-1], values))
-    v = values[by]
-    return by, np.flatnonzero(np.concatenate([np.ones(min(len(v), 1), bool), v[1:] != v[:-1]]))
+    by = np.lexsort((*payload[::-1], *values))
+    new = np.zeros(len(by), bool)
+    new[:1] = True
+    for v in values:
+        own = v[by]
+        new[1:] |= own[1:] != own[:-1]
+    return by, np.flatnonzero(new)
 
 
-def once_each(values: np.ndarray, payload: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def once_each(values: Halves, payload: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first, twice, same): the places, rising, of the row with the least payload of each distinct value, whether the
     value has more rows, and for each row which of those places is its value's."""
     by, start = first_of_each(values, payload)
@@ -52,36 +59,36 @@ def once_each(values: np.ndarray, payload: list[np.ndarray]) -> tuple[np.ndarray
     return by[start][order], size[order] > 1, same
 
 
-def _deal(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    names = ["bucket", "chunk", "at", "v", "twice", *(f"p{k}" for k in range(width))]
+def _deal(batches: Iterator[pa.RecordBatch], halves: int, width: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    names = ["bucket", "chunk", "at", "twice", *(f"v{k}" for k in range(halves)), *(f"p{k}" for k in range(width))]
     for batch in batches:
-        for chunk, raw, bits, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            values = np.frombuffer(raw, np.uint64)
-            twice = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(values))
-            payload = [unpress(p, np.int64) for p in packed]
-            bucket = (values % np.uint64(buckets)).astype(np.int64)
+        for chunk, bits, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            values = [np.frombuffer(v, np.uint64) for v in blobs[:halves]]
+            twice = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(values[0]))
+            payload = [unpress(p, np.int64) for p in blobs[halves:]]
+            bucket = (values[0] % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")  # inside a bucket in the chunk's order, so that payloads rise
             cut = np.flatnonzero(np.diff(bucket[by], prepend=-1))
             rows: list[list] = [[] for _ in names]
             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(by)], strict=True):
                 own = by[a:b]
-                for column, x in zip(rows, (int(bucket[own[0]]), chunk, press(own), values[own].tobytes(), np.packbits(twice[own]).tobytes(), *(press(p[own]) for p in payload)), strict=True):
+                for column, x in zip(rows, (int(bucket[own[0]]), chunk, press(own), np.packbits(twice[own]).tobytes(), *(v[own].tobytes() for v in values), *(press(p[own]) for p in payload)), strict=True):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.binary()) for k, c in enumerate(rows)], names)
 
 
-def _meet(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], halves: int, width: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket."""
 
     def settled(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        parts = [np.frombuffer(r[3], np.uint64) for r in rows]
-        values, lens = np.concatenate(parts), [len(p) for p in parts]
-        twice = np.concatenate([np.unpackbits(np.frombuffer(r[4], np.uint8), count=n).view(bool) for r, n in zip(rows, lens, strict=True)])
-        payload = [np.concatenate([unpress(r[5 + k], np.int64) for r in rows]) for k in range(width)]
+        values = [np.concatenate([np.frombuffer(r[4 + k], np.uint64) for r in rows]) for k in range(halves)]
+        lens = [len(r[4]) // 8 for r in rows]
+        twice = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8), count=n).view(bool) for r, n in zip(rows, lens, strict=True)])
+        payload = [np.concatenate([unpress(r[4 + halves + k], np.int64) for r in rows]) for k in range(width)]
         by, start = first_of_each(values, payload)
         size = np.diff(np.append(start, len(by)))
         met = (size > 1) | np.logical_or.reduceat(twice[by], start)
-        hit, least = np.zeros(len(values), bool), np.empty(len(values), np.int64)
+        hit, least = np.zeros(len(by), bool), np.empty(len(by), np.int64)
         hit[by], least[by] = np.repeat(met, size), np.repeat(by[start], size)
         end, out = np.cumsum(lens), []
         for r, a, b in zip(rows, (end - lens).tolist(), end.tolist(), strict=True):
@@ -102,18 +109,19 @@ def _meet(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         yield from settled(rows)
 
 
-def repeated_values(chunks: DataFrame, total: int, width: int = 0) -> DataFrame:
+def repeated_values(chunks: DataFrame, total: int, width: int = 0, halves: int = 1) -> DataFrame:
     """(chunk, met): for each chunk with values that occur more than once, here or in other chunks, those values.
 
-    chunks: chunk (a unique long), v (distinct unsigned 64-bit values as one binary), twice (a bit for each of them:
-    whether the chunk has it more than once) and p0 .. p<width - 1> (for each value a 64-bit integer, pressed); it is
-    read once. total: the number of values, which sets the number of buckets. met is an array of structs at, p0 .. with
-    the places of the values in v and the least payload that each has anywhere; read it with met_in."""
+    chunks: chunk (a unique long), v0 and for values of 128 bits v1 (distinct values as one binary of unsigned 64-bit
+    integers each), twice (a bit for each of them: whether the chunk has it more than once) and p0 .. p<width - 1> (for
+    each value a 64-bit integer, pressed); it is read once. total: the number of values, which sets the number of
+    buckets. met is an array of structs at, p0 .. with the places of the values and the least payload that each has
+    anywhere; read it with met_in."""
     buckets = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_VALUES))
-    more = "".join(f", p{k} binary" for k in range(width))
-    names = [f"p{k}" for k in range(width)]
-    dealt = chunks.select("chunk", "v", "twice", *names).mapInArrow(lambda it: _deal(it, width, buckets), f"bucket long, chunk long, at binary, v binary, twice binary{more}")
-    found = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _meet(it, width), f"chunk long, at binary{more}")
+    values, names = [f"v{k}" for k in range(halves)], [f"p{k}" for k in range(width)]
+    more = "".join(f", {p} binary" for p in names)
+    dealt = chunks.select("chunk", "twice", *values, *names).mapInArrow(lambda it: _deal(it, halves, width, buckets), f"bucket long, chunk long, at binary, twice binary{''.join(f', {v} binary' for v in values)}{more}")
+    found = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _meet(it, halves, width), f"chunk long, at binary{more}")
     return found.groupBy("chunk").agg(F.collect_list(F.struct("at", *names)).alias("met"))  # no more than the chunk's own values
 
 

@@ -12,7 +12,8 @@ segment, so a text is a chain of segments, a few for each LENGTH bytes, and thes
    extension, which binary search finds on prefix polynomial hashes. Neighbours that agree in LENGTH bytes are repeats,
    after their bytes have been compared. Suffixes with other anchors or offsets can't agree, so runs start from there.
 4. An anchor with more than GROUP contents (a passage that very many texts embed) would make one task grow with the
-   input. Its windows go by their own 128-bit digest, packed, to hash buckets that count them.
+   input. Its windows are counted by their own 128-bit digests, on packed arrays (graphlane.llm.packed): of each chunk of
+   them a digest travels once.
 
 Texts travel as compressed blobs, only those with repeats more than once.
 """
@@ -28,13 +29,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlane.llm.common import text_or_empty, type_of, written
+from graphlane.llm.common import dropped, pieces_of, text_or_empty, type_of, written
 from graphlane.llm.hashing import BASE, CODES, INVERSE, mix, powers
+from graphlane.llm.packed import met_in, once_each, repeated_values, unpress
+from graphlane.llm.packed import press as pack
 
 LENGTH = 400
 GRAM = 100
 GROUP = 200
 BLOCK = 1 << 20
+CHUNK_WINDOWS = 1 << 17
 PIECE = 1 << 22
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -59,8 +63,9 @@ def prefix_hashes(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def segments(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each segment: the first window's start, the number of windows, the anchor's place and hash."""
+def segments(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Of each segment: the first window's start, the number of windows, the anchor's place and hash, and a hash of all
+    bytes of the segment."""
     parts = []
     for at in range(0, max(len(raw) - length + 1, 0), PIECE):
         part = raw[at : at + PIECE + length - 1]
@@ -77,10 +82,11 @@ def segments(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
         least = np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
         start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         place = (least[start] & _PLACE).astype(np.int64)
-        parts.append((start + at, np.diff(np.append(start, n)), place + at, g[place]))
+        count = np.diff(np.append(start, n))
+        parts.append((start + at, count, place + at, g[place], mix((h[start + count + length - 1] - h[start]) * down[start] + count.astype(np.uint64))))
     if not parts:
         none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64)
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -171,24 +177,22 @@ def _outline(batches: Iterator[pa.RecordBatch], length: int, gram: int, out: pa.
     press, key = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 32
     for batch in batches:
         rows: list[tuple] = []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            start, n, place, anchor = segments(np.frombuffer(text, np.uint8), length, gram)
+        for i, text in zip(batch.column(0).to_pylist(), (t.encode() for _, part in pieces_of(batch.column(1)) for t in part), strict=True):
+            start, n, place, anchor, whole = segments(np.frombuffer(text, np.uint8), length, gram)
+            _, first, same = np.unique(whole, return_index=True, return_inverse=True)
+            rep = first[same]  # of each segment the first one with that hash
+            for j in np.flatnonzero(rep != np.arange(len(rep))).tolist():
+                k = int(rep[j])
+                if n[j] != n[k] or text[start[j] : start[j] + n[j] + length - 1] != text[start[k] : start[k] + n[k] + length - 1]:
+                    rep[j] = j  # hashes collided; digests will tell
+            keep = np.unique(rep)
+            count = np.bincount(rep, minlength=len(rep))[keep].astype(np.int32)
+            twice = np.isin(rep, keep[count > 1])
+            local = _merged(start[twice], start[twice] + n[twice] - 1)
+            start, n, place, anchor = start[keep], n[keep], place[keep], anchor[keep]
             digests = [hashlib.blake2b(text[a : a + k + length - 1], digest_size=16).digest() for a, k in zip(start.tolist(), n.tolist(), strict=True)]
-            local, count = [], np.ones(len(start), np.int32)
-            if len(set(digests)) < len(digests):
-                held: dict[bytes, list[int]] = {}
-                for j, d in enumerate(digests):
-                    held.setdefault(d, []).append(j)
-                keep = []
-                for own in held.values():
-                    keep.append(own[0])
-                    count[own[0]] = len(own)
-                    if len(own) > 1:
-                        local += [(int(start[j]), int(start[j] + n[j] - 1)) for j in own]
-                keep = np.array(sorted(keep))
-                start, n, place, anchor, count, digests = start[keep], n[keep], place[keep], anchor[keep], count[keep], [digests[j] for j in keep.tolist()]
             d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            rows.append((key, i, len(text), hashlib.sha256(text).hexdigest(), press.compress(text), [x for ab in _merge(local) for x in ab], anchor.view(np.int64), d[:, 0], d[:, 1], start.astype(np.int32), n.astype(np.int32), (place - start).astype(np.int32), count))
+            rows.append((key, i, len(text), hashlib.sha256(text).hexdigest(), press.compress(text), local, anchor.view(np.int64), d[:, 0], d[:, 1], start.astype(np.int32), n.astype(np.int32), (place - start).astype(np.int32), count))
             key += 1
             if len(rows) == 500:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
@@ -197,6 +201,14 @@ def _outline(batches: Iterator[pa.RecordBatch], length: int, gram: int, out: pa.
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
 
+def _merged(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Runs of windows, sorted by their first ones: first, last, first, last .. of what they make where overlapping or
+    adjacent ones are joined."""
+    until = np.maximum.accumulate(last)
+    cut = np.flatnonzero(first[1:] > until[:-1] + 1)
+    return np.stack([first[np.append(0, cut + 1)], until[np.append(cut, len(last) - 1)]], axis=1).ravel().astype(np.int32) if len(first) else np.zeros(0, np.int32)
+
+
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Runs of windows (first, last), overlapping or adjacent ones joined."""
     out: list[tuple[int, int]] = []
@@ -260,60 +272,44 @@ def _by_anchor(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Re
         yield settled(block)
 
 
-def _deal(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Windows of hot segments by digest bucket: (bucket, packed digests and places)."""
-    names, kinds = ["bucket", "digests", "keys", "places"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+def _packed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The windows of hot segments in chunks: their distinct digests, and of each window text and place."""
+    from pyspark import TaskContext
+
+    chunk, names = TaskContext.get().partitionId() << 32, ["chunk", "v0", "v1", "twice", "keys", "places", "same", "n"]
 
     def flush() -> pa.RecordBatch:
         d = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
-        key, place = np.array(keys, np.int64), np.array(places, np.int32)
-        bucket = (d[:, 0] % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        cut = np.flatnonzero(np.concatenate([[True], np.diff(bucket[by]) != 0]))
-        parts = np.split(by, cut[1:])
-        columns = [bucket[by][cut], [d[p].tobytes() for p in parts], [key[p].tobytes() for p in parts], [place[p].tobytes() for p in parts]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+        first, twice, same = once_each([d[:, 0], d[:, 1]], [])
+        blobs = d[first, 0].tobytes(), d[first, 1].tobytes(), np.packbits(twice).tobytes(), pack(np.concatenate(keys)), pack(np.concatenate(places)), pack(same)
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *(pa.array([x], pa.binary()) for x in blobs), pa.array([len(first)], pa.int64())], names)
 
     digests, keys, places = [], [], []
     for batch in batches:
         for key, start, n, raw in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 5)), strict=True):
-            digests += [hashlib.blake2b(raw[j : j + length], digest_size=16).digest() for j in range(n)]
-            keys += [key] * n
-            places += range(start, start + n)
-            if len(keys) >= 1 << 20:
-                yield flush()
-                digests, keys, places = [], [], []
-    if keys:
+            for a in range(0, n, CHUNK_WINDOWS):
+                m = min(n - a, CHUNK_WINDOWS)
+                digests += [hashlib.blake2b(raw[j : j + length], digest_size=16).digest() for j in range(a, a + m)]
+                keys.append(np.full(m, key, np.int64))
+                places.append(np.arange(start + a, start + a + m))
+                if len(digests) >= CHUNK_WINDOWS:
+                    yield flush()
+                    chunk, digests, keys, places = chunk + 1, [], [], []
+    if digests:
         yield flush()
 
 
-def _counted(batches: Iterator[pa.RecordBatch], homes: int) -> Iterator[pa.RecordBatch]:
-    """Of each bucket the windows that occur twice, packed by the home of their text."""
-    held: dict[int, list[list[np.ndarray]]] = {}
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks with what repeats to (key, runs of repeated windows)."""
     for batch in batches:
-        for bucket, d, k, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            held.setdefault(bucket, []).append([np.frombuffer(d, np.uint64).reshape(-1, 2), np.frombuffer(k, np.int64), np.frombuffer(p, np.int32)])
-    for parts in held.values():
-        d, key, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-        by = np.lexsort((d[:, 1], d[:, 0]))
-        same = (d[by[1:]] == d[by[:-1]]).all(axis=1)
-        hit = by[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-        home = key[hit] % homes
-        order = np.argsort(home, kind="stable")
-        cut = np.flatnonzero(np.concatenate([[True], np.diff(home[order]) != 0])) if len(hit) else np.zeros(0, np.int64)
-        for own in np.split(hit[order], cut[1:]) if len(hit) else ():
-            yield pa.RecordBatch.from_arrays([pa.array([key[own[0]] % homes], pa.int32()), pa.array([key[own].tobytes()], pa.binary()), pa.array([place[own].tobytes()], pa.binary())], ["home", "keys", "places"])
-
-
-def _homed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = [(np.frombuffer(k, np.int64), np.frombuffer(p, np.int32)) for batch in batches for k, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-    if parts:
-        key, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-        by = np.lexsort((place, key))
-        key, place = key[by], place[by]
-        cut = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0]))
-        spans = [[x for ab in runs(np.unique(p)) for x in ab] for p in np.split(place, cut[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(key[cut], pa.int64()), pa.array(spans, pa.list_(pa.int32()))], ["key", "spans"])
+        for keys, places, same, met in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            key, place, same = (unpress(x, np.int64) for x in (keys, places, same))
+            hit = np.zeros(int(same.max()) + 1, bool)
+            hit[met_in(met)[0]] = True
+            key, place = key[hit[same]], place[hit[same]]
+            cut = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]]))
+            spans = [[x for ab in runs(np.unique(p)) for x in ab] for p in np.split(place, cut[1:])] if len(key) else []
+            yield pa.RecordBatch.from_arrays([pa.array(key[cut], pa.int64()), pa.array(spans, pa.list_(pa.int32()))], ["key", "spans"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int, keep_text: bool, out: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -351,8 +347,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    spark, kind = df.sparkSession, type_of(df, id_col)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = type_of(df, id_col)
     head = f"key long, id {kind}, n_bytes long, sha string, blob binary, local array<int>, anchor array<long>, d1 array<long>, d2 array<long>, start array<int>, n array<int>, off array<int>, cnt array<int>"
     schema = to_arrow_schema(StructType.fromDDL(head))
     texts = written(df.select(F.col(id_col), text_or_empty(text_col).alias("t")).mapInArrow(lambda it: _outline(it, length, gram, schema), head), "suffix-outline")
@@ -365,12 +360,14 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     unsettled = whole.join(mixed, "anchor").select(F.col("rep.key").alias("key"), F.struct("rep.start", "rep.n", "rep.off", F.lit(False).alias("whole"), "anchor", (F.col("contents") > group).alias("hot")).alias("m"))
     marks = repeated.unionByName(unsettled).groupBy("key").agg(F.collect_list("m").alias("marks"))  # as many as the text has segments
     touched = written(texts.select("key", "id", "n_bytes", "blob", "local").join(marks, "key", "left").where("marks is not null or size(local) > 0"), "suffix-touched")
+    dropped(shared, likely, whole, mixed)
     ends = touched.select("key", "blob", "marks").where("exists(marks, m -> m.anchor is not null)").mapInArrow(lambda it: _ends(it, length), "anchor long, key long, start int, n int, off int, hot boolean, bytes binary")
     ends = written(ends, "suffix-ends")
     found = "key long, spans array<int>"
     cold = ends.where("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda it: _by_anchor(it, length), found)
-    hot = ends.where("hot").drop("hot").mapInArrow(lambda it: _deal(it, length, buckets), "bucket int, digests binary, keys binary, places binary").repartition("bucket")
-    hot = hot.mapInArrow(lambda it: _counted(it, buckets), "home int, keys binary, places binary").repartition("home").mapInArrow(_homed, found)
+    hot = written(ends.where("hot").drop("hot").mapInArrow(lambda it: _packed(it, length), "chunk long, v0 binary, v1 binary, twice binary, keys binary, places binary, same binary, n long"), "suffix-hot")
+    met = repeated_values(hot, hot.agg(F.sum("n")).first()[0] or 0, halves=2)
+    hot = hot.select("chunk", "keys", "places", "same").join(met, "chunk").drop("chunk").mapInArrow(_repeated, found)
     spans = cold.unionByName(hot).groupBy("key").agg(F.collect_list("spans").alias("more"))
     last = "kept binary" if keep_bytes else "kept_sha256 string"
     body = f"key long, `{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, {last}"
