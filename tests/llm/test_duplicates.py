@@ -6,6 +6,7 @@ import pytest
 
 from graphlane.llm.exact_dedup import drop_exact_copies, exact_dedup
 from graphlane.llm.minhash import _banded, drop_near_duplicates, near_duplicates, similar
+from graphlane.llm.packed import met_in, once_each, press, repeated_values, unpress
 from graphlane.llm.paragraphs import WINDOW, jaccard, repeated_paragraphs, tuned_bands, windows
 from graphlane.llm.suffix_dedup import substring_dedup
 from tests.llm.util import SCHEMA, components_of, docs, edge_rows, prose, words
@@ -51,6 +52,25 @@ def test_near_duplicates_are_those_of_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.class_id) and r.class_size == sum(v == r.class_id for v in want.values()) for r in got)
 
 
+def test_short_texts_meet_whatever_their_length(spark):
+    """Pairs with as many changed words as the threshold allows, of 5 to 60 words, are those of brute force."""
+    rng = random.Random(12)
+    rows = []
+    for i, n in enumerate(k for k in (5, 6, 8, 9, 10, 11, 12, 14, 20, 30, 41, 48, 49, 60) for _ in range(4)):
+        base = prose(rng, n, 100_000).split()
+        other = list(base)
+        most = int(0.2 * n + 1e-9) if n < 40 else int(0.1 * n)
+        for at in rng.sample(range(n), most):
+            other[at] = f"new{i}x{at}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other[: -1 if most > 1 and i % 2 and other[-1] == base[-1] and n > 10 and most * 10 <= n else n]))]
+    pairs = [(a, b) for a, x in rows for b, y in rows if a < b and similar(words(x), words(y))]
+    assert len(pairs) >= len(rows) // 2
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs(spark, rows)).collect()}
+    want = components_of(pairs, [i for i, _ in rows])
+    assert sum(got[i] == want[i] for i in got) >= len(got) - 2  # sketches are drawn at random
+    assert all(got[i] in (want[i], i) for i in got)
+
+
 def test_near_duplicates_in_a_crowd_of_one_template(spark):
     """All texts share sketches with all others by their template, but each is similar to its partner only."""
     rng = random.Random(8)
@@ -141,24 +161,123 @@ def test_windows_meet_in_every_run_of_51_words():
 
     rng = np.random.default_rng(6)
     shared = rng.integers(1, 2**63, 51, dtype=np.uint64)
-    for _ in range(50):
-        a, b = (np.concatenate([rng.integers(1, 2**63, rng.integers(0, 90), dtype=np.uint64), shared, rng.integers(1, 2**63, rng.integers(0, 90), dtype=np.uint64)]) for _ in range(2))
-        (_, ha, ca), (_, hb, cb) = windows(a), windows(b)
-        assert set(zip(ha.tolist(), ca.tolist(), strict=True)) & set(zip(hb.tolist(), cb.tolist(), strict=True))
+    texts = [np.concatenate([rng.integers(1, 2**63, rng.integers(0, 90), dtype=np.uint64), shared, rng.integers(1, 2**63, rng.integers(0, 90), dtype=np.uint64)]) for _ in range(100)]
+    lens = np.array([len(t) for t in texts])
+    owner, at, value = windows(np.concatenate(texts), lens)
+    own = [set(value[owner == k].tolist()) for k in range(100)]
+    assert all(a & b for a, b in zip(own[::2], own[1::2], strict=True))
+    for k in range(100):  # as if each text stood alone
+        _, alone, values = windows(texts[k], lens[k : k + 1])
+        assert alone.tolist() == at[owner == k].tolist() and values.tolist() == value[owner == k].tolist()
+        assert all(i + WINDOW <= lens[k] for i in alone.tolist())
 
 
-def test_repeated_paragraphs(spark):
-    rng = random.Random(7)
+def test_repeated_values_are_those_of_a_count(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    values = [rng.integers(0, 3000, 200).astype(np.uint64) * np.uint64(2**50 + 1) for _ in range(12)]
+    rows, held = [], []
+    for c, v in enumerate(values):
+        key = np.arange(len(v)) + 1000 * c
+        first, twice, same = once_each([v, v + np.uint64(1)], [key])
+        assert (v[first][same] == v).all() and unpress(press(key), np.int64).tolist() == key.tolist()
+        rows.append((c, bytearray(v[first].tobytes()), bytearray((v[first] + np.uint64(1)).tobytes()), bytearray(np.packbits(twice).tobytes()), bytearray(press(key[first]))))
+        held.append((v, first, same))
+    table = spark.createDataFrame(rows, "chunk long, v0 binary, v1 binary, twice binary, p0 binary")
+    count = {x: 0 for v in values for x in v.tolist()}
+    least = {}
+    for c, v in enumerate(values):
+        for k, x in enumerate(v.tolist()):
+            count[x] += 1
+            least[x] = min(least.get(x, 10**9), 1000 * c + k)
+    met = {r.chunk: met_in(r.met, 1) for r in repeated_values(table, 2400, 1, 2).collect()}
+    for c, (v, first, _) in enumerate(held):
+        at, (p,) = met.get(c, (np.zeros(0, int), [np.zeros(0, int)]))
+        got = dict(zip(v[first][at].tolist(), p.tolist(), strict=True))
+        assert got == {x: least[x] for x in v.tolist() if count[x] > 1}
+
+
+def passage_rows(rng):
     line, passage, other = prose(rng, 60, 10_000), prose(rng, 55, 10_000), prose(rng, 30, 10_000)
     near = line.split()
     near[30] = "changed"
     rows = [(i, prose(rng, 150, 10_000)) for i in range(10)]
-    rows += [(20, f"{prose(rng, 20, 10_000)}\n{line}\nend"), (21, f"{' '.join(near)}\nother words"), (22, f"{prose(rng, 70, 10_000)} {passage} {prose(rng, 40, 10_000)}"), (23, f"{prose(rng, 30, 10_000)} {passage}"), (24, other), (25, f"{other} {prose(rng, 80, 10_000)}"), (26, None), (27, ""), (None, passage), (22, "x")]
-    got = repeated_paragraphs(docs(spark, rows)).collect()
-    lines = {(r.doc_id, r.kept) for r in got if r.kind == "line"}
-    assert jaccard(line.split(), near) >= 0.8 and lines == {(20, True), (21, False)}
-    passages = {(r.doc_id, r.kept) for r in got if r.kind == "passage" and r.doc_id not in (20, 21)}
+    rows += [(20, f"{prose(rng, 20, 10_000)}\n\n{line}\n\nend"), (21, f"{' '.join(near)}\nother words"), (22, f"{prose(rng, 70, 10_000)} {passage} {prose(rng, 40, 10_000)}"), (23, f"{prose(rng, 30, 10_000)} {passage}"), (24, other), (25, f"{other} {prose(rng, 80, 10_000)}"), (26, None), (27, ""), (None, passage), (22, "x")]
+    wrapped = line.split()
+    wrapped[10] = "altered"
+    return rows + [(30, "\n".join(" ".join(wrapped[k : k + 8]) for k in range(0, 60, 8)))]
+
+
+@pytest.mark.parametrize("bits", [64, 6])
+def test_repeated_paragraphs(spark, bits):
+    """6 bits: nearly all windows that meet are false, and are told apart by their words."""
+    table = docs(spark, passage_rows(random.Random(7)))
+    got = repeated_paragraphs(table, hash_bits=bits).collect()
+    lines = {(r.doc_id, r.kept) for r in got if r.kind == "paragraph"}
+    assert lines == {(20, True), (21, False), (30, False)}  # one word changed, and another one across short lines
+    passages = {(r.doc_id, r.kept) for r in got if r.kind == "passage" and r.doc_id not in (20, 21, 30)}
     assert passages == {(22, True), (23, False), (None, False)}  # 30 common words are too few
     assert len({r.cluster_id for r in got if r.kind == "passage" and r.doc_id in (22, 23, None)}) == 1
     assert all(r.n_words >= WINDOW for r in got)
     assert repeated_paragraphs(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_passages_are_those_of_brute_force(spark):
+    """Each run of 51 words that occurs twice is found, each passage that goes occurs elsewhere, and content is kept once."""
+    rng = random.Random(9)
+    shared = [prose(rng, rng.randrange(51, 120), 10_000) for _ in range(6)]
+    rows = [(i, " ".join(rng.choice(shared) if rng.random() < 0.3 else prose(rng, 40, 10_000) for _ in range(rng.randrange(1, 7)))) for i in range(60)]
+    rows = [(1000 + i, t) for i, t in rows] + edge_rows()[:-1] + [(6, edge_rows()[7][1])]
+    texts: dict = {}
+    for k, (_, t) in enumerate(rows):
+        texts[k] = words(t)
+    runs: dict = {}
+    for k, w in texts.items():
+        for a in range(len(w) - 50):
+            runs.setdefault(tuple(w[a : a + 51]), set()).add((k, a))
+    want = {rows[k][0] for own in runs.values() if len(own) > 1 for k, _ in own}
+    got = [r for r in repeated_paragraphs(docs(spark, rows)).collect() if r.kind == "passage"]
+    assert {r.doc_id for r in got} >= want
+    small: dict = {}
+    for k, w in texts.items():
+        for a in range(len(w) - WINDOW + 1):
+            small.setdefault(tuple(w[a : a + WINDOW]), set()).add((rows[k][0], a))
+    by_id: dict = {}
+    for k, w in texts.items():
+        by_id.setdefault(rows[k][0], []).append(w)
+    for r in got:
+        if r.doc_id is not None and len(by_id[r.doc_id]) == 1:
+            own = by_id[r.doc_id][0]
+            assert len(small[tuple(own[r.start : r.start + WINDOW])]) > 1
+    for own in by_id[6]:  # 20,000 words, twice
+        assert len(own) == 20_000
+    assert sorted(r.kept for r in got if r.doc_id == 6) == [False, True]
+
+
+def test_similar_paragraphs_are_those_of_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(25):
+        base = prose(rng, rng.randrange(45, 160), 10_000).split()
+        for c in range(rng.randrange(1, 4)):
+            own = list(base)
+            for _ in range(rng.randrange(0, 3)):
+                own[rng.randrange(len(own))] = f"new{i}x{c}"
+            rows.append((10 * i + c, f"{prose(rng, 5)}\n\n{' '.join(own)}\n\n{prose(rng, 7)}"))
+    texts = {i: words(t.split("\n\n")[1]) for i, t in rows}
+    pairs = [(a, b) for a in texts for b in texts if a < b and jaccard(texts[a], texts[b]) >= 0.8]
+    want = components_of(pairs, texts)
+    got = {r.doc_id: r.keep_id for r in repeated_paragraphs(docs(spark, rows)).collect() if r.kind == "paragraph"}
+    assert got == {i: want[i] for i in texts if sum(v == want[i] for v in want.values()) > 1}
+
+
+def test_substring_dedup_of_crowds_and_periods(spark):
+    """A passage that 600 texts embed, and long periodic texts."""
+    rng = random.Random(13)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(60))
+    rows = [(i, "".join(rng.choice("ijklmnop") for _ in range(rng.randrange(0, 40))) + passage + "".join(rng.choice("ijklmnop") for _ in range(20))) for i in range(600)]
+    rows += [(1000, "z" * 200_000), (1001, "xyz" * 20_000), (None, None), (1002, "z" * 31)]
+    got = {r.doc_id: r for r in substring_dedup(docs(spark, rows), length=32, gram=8, group=5, keep_bytes=True).collect()}
+    assert all((got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == (60, 1, t.replace(passage, "").encode()) for i, t in rows[:600])
+    assert [(got[i].n_removed, got[i].n_spans) for i in (1000, 1001, 1002, None)] == [(200_000, 1), (60_000, 1), (0, 0), (0, 0)]
