@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphlane.plans.tables import written
 from graphlane.registry import algorithm
 from graphlane.types import BipartiteGraph, Graph
 
@@ -16,5 +17,6 @@ def graph_projection(bgraph: BipartiteGraph, nodes_retained: int = 0) -> Graph:
         raise ValueError("nodes_retained must be 0 or 1")
     keep, drop = ("src", "dst") if nodes_retained == 0 else ("dst", "src")
     ends = bgraph.edges.select(F.col(keep).alias("k"), F.col(drop).alias("via")).distinct()
+    ends = written(ends, "projection")  # so that adaptive execution can split a hub
     pairs = ends.select("via", F.col("k").alias("src")).join(ends.select("via", F.col("k").alias("dst")), "via").where("src < dst").select("src", "dst").distinct()
     return Graph(bgraph.parts[nodes_retained], pairs, is_directed=False)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphlane.functions.lots import lot
 from graphlane.operators.utility import collapse_by_label, degrees
 from graphlane.plans.components import components
 from graphlane.plans.ordering import positions
-from graphlane.plans.tables import written
+from graphlane.plans.tables import Parts, dropped, written
 from graphlane.registry import algorithm
 from graphlane.types import Graph, NodeMap
 
@@ -109,22 +110,28 @@ def global_clustering_coefficient(graph: Graph) -> float:
 
 
 def coloured(graph: Graph) -> DataFrame:
-    """(id, colour): sequential greedy colouring by falling degree, then id, run in parallel (Jones-Plassmann)."""
-    deg = degrees(graph).select("id", F.col("value").alias("d"))
+    """(id, colour): sequential greedy colouring by falling degree, then by lot, run in parallel (Jones-Plassmann): a
+    node is coloured once all its neighbours that come before are. Lots keep chains of such neighbours short."""
+    deg = degrees(graph).select("id", F.struct(-F.col("value").alias("d"), lot(0, "id").alias("lot"), "id").alias("r"))
     simple = graph.simple()
-    da, db = deg.select(F.col("id").alias("a"), F.col("d").alias("da")), deg.select(F.col("id").alias("b"), F.col("d").alias("db"))
-    first = F.struct(-F.col("da"), F.col("a")) < F.struct(-F.col("db"), F.col("b"))
-    waits = written(simple.join(da, "a").join(db, "b").select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("id"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("on")), "priority")
-    done = written(graph.nodes.select("id").join(waits.select("id").distinct(), "id", "left_anti").select("id", F.lit(0).cast("long").alias("colour")), "colour")
-    open_ = waits
+    da, db = deg.select(F.col("id").alias("a"), F.col("r").alias("ra")), deg.select(F.col("id").alias("b"), F.col("r").alias("rb"))
+    first = F.col("ra") < F.col("rb")
+    open_ = written(simple.join(da, "a").join(db, "b").select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("id"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("on"), F.lit(None).cast("long").alias("colour")), "priority")
+    fresh = written(graph.nodes.select("id").join(open_.select("id").distinct(), "id", "left_anti").select("id", F.lit(0).cast("long").alias("colour")), "colour")
+    done = Parts("colour")
     while open_.limit(1).count():
-        near = open_.join(done.select(F.col("id").alias("on"), "colour"), "on", "left").groupBy("id").agg(F.bool_or(F.col("colour").isNull()).alias("wait"), F.array_sort(F.collect_set("colour")).alias("used"))
+        # a node's open edges learn the colours that were given last
+        told = written(open_.join(fresh.select(F.col("id").alias("on"), F.col("colour").alias("new")), "on", "left").select("id", "on", F.coalesce("colour", "new").alias("colour")), "priority")
+        near = told.groupBy("id").agg(F.bool_or(F.col("colour").isNull()).alias("wait"), F.array_sort(F.collect_set("colour")).alias("used"))
         # the least number that is not used: one of 0 .. number of used ones
         free = F.array_min(F.array_except(F.sequence(F.lit(0).cast("long"), F.size("used").cast("long")), F.col("used")))
-        fresh = written(near.where("not wait").select("id", free.alias("colour")), "colour")
-        done = written(done.unionByName(fresh), "colour")
-        open_ = written(open_.join(fresh.select("id"), "id", "left_anti"), "priority")
-    return done
+        given = written(near.where("not wait").select("id", free.alias("colour")), "colour")
+        done.add(fresh)
+        last, open_ = open_, written(told.join(given.select("id"), "id", "left_anti"), "priority")
+        dropped(last, told)
+        fresh = given
+    done.add(fresh)
+    return done.whole()
 
 
 @algorithm("clustering.coloring.greedy", graph=UNDIRECTED)
@@ -141,7 +148,7 @@ def label_propagation_community(graph: Graph, maxiter: int = 100) -> NodeMap:
     colour = coloured(graph)
     walk = written(Graph(graph.nodes, graph.simple().select(F.col("a").alias("src"), F.col("b").alias("dst")), False).both_ways(), "edges")
     colours = [r[0] for r in colour.select("colour").distinct().orderBy("colour").collect()]
-    state = written(colour.select("id", "colour", F.col("id").alias("label")), "labels")
+    last = state = written(colour.select("id", "colour", F.col("id").alias("label")), "labels")
     for _ in range(maxiter):
         changed = 0
         for c in colours:
@@ -149,7 +156,8 @@ def label_propagation_community(graph: Graph, maxiter: int = 100) -> NodeMap:
             best = votes.groupBy("src").agg(F.min(F.struct(-F.col("n"), F.col("label") != F.col("own"), F.col("label"))).alias("b"))
             new = written(state.join(best.select(F.col("src").alias("id"), F.col("b.label").alias("to")), "id", "left").select("id", "colour", F.coalesce("to", "label").alias("label"), F.coalesce(F.col("to") != F.col("label"), F.lit(False)).alias("moved")), "labels")
             changed += new.where("moved").count()
-            state = new.drop("moved")
+            dropped(last)
+            last, state = new, new.drop("moved")
         if not changed:
             break
     return _dense(state.select("id", "label"))
@@ -172,7 +180,7 @@ def _louvain_level(graph: Graph, maxiter: int) -> DataFrame:
     m = float(graph.edges.agg(F.sum("weight")).first()[0])
     strength = graph.edges.select(F.explode(F.array("src", "dst")).alias("id"), "weight").groupBy("id").agg(F.sum("weight").cast("double").alias("k"))
     colour = coloured(graph)
-    state = written(colour.join(strength, "id", "left").select("id", "colour", F.coalesce("k", F.lit(0.0)).alias("k"), F.col("id").alias("label")), "louvain")
+    last = state = written(colour.join(strength, "id", "left").select("id", "colour", F.coalesce("k", F.lit(0.0)).alias("k"), F.col("id").alias("label")), "louvain")
     walk = written(graph.both_ways("weight").where("src != dst").groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("w")), "edges")
     colours = [r[0] for r in colour.select("colour").distinct().orderBy("colour").collect()]
     for _ in range(maxiter):
@@ -188,7 +196,8 @@ def _louvain_level(graph: Graph, maxiter: int) -> DataFrame:
             best = options.groupBy("src").agg(F.min(F.struct(-gain, F.col("label") != F.col("own"), F.col("label"))).alias("b"))
             new = written(state.join(best.select(F.col("src").alias("id"), F.col("b.label").alias("to")), "id", "left").select("id", "colour", "k", F.coalesce("to", "label").alias("label"), F.coalesce(F.col("to") != F.col("label"), F.lit(False)).alias("moved")), "louvain")
             changed += new.where("moved").count()
-            state = new.drop("moved")
+            dropped(last)
+            last, state = new, new.drop("moved")
         if not changed:
             break
     return state.select("id", "label")

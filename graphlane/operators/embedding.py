@@ -14,6 +14,9 @@ from graphlane.plans.tables import written
 from graphlane.registry import algorithm
 from graphlane.types import Graph, Matrix, NodeMap, Vector
 
+ROWS_A_PART = 100_000
+MOST_NODES = 5_000_000
+
 
 def _numbered(rows: DataFrame, vector: str) -> tuple[Matrix, NodeMap]:
     """(matrix, node to row) of (id, vector), rows by id."""
@@ -53,11 +56,16 @@ def walks(graph: Graph, p: float, q: float, per_node: int, length: int, seed: in
 
 @algorithm("embedding.train.node2vec")
 def node2vec(graph: Graph, p: float = 1.0, q: float = 1.0, walks_per_node: int = 8, walk_length: int = 8, embedding_size: int = 16, epochs: int = 1, learning_rate: float = 0.025, seed: int = 0) -> tuple[Matrix, NodeMap]:
-    """Skip-gram vectors of biased walks."""
+    """Skip-gram vectors of biased walks, trained in a part for each 100,000 of them (64 at most) whose vectors are
+    averaged. ValueError beyond 5 million nodes, whose vectors the trainer would hold on the driver."""
     from pyspark.ml.feature import Word2Vec
 
     sentences = walks(graph, p, q, walks_per_node, walk_length, seed).groupBy("wid").agg(F.expr("transform(array_sort(collect_list(struct(step, id))), x -> cast(x.id as string))").alias("words"))
-    model = Word2Vec(vectorSize=embedding_size, minCount=0, maxIter=max(epochs, 1), stepSize=learning_rate, windowSize=5, numPartitions=1, seed=seed, inputCol="words", outputCol="v").fit(written(sentences, "sentences"))
+    sentences = written(sentences, "sentences")
+    n = sentences.count()
+    if graph.nodes.count() > MOST_NODES:
+        raise ValueError(f"the vectors of at most {MOST_NODES} nodes fit the driver that trains them")
+    model = Word2Vec(vectorSize=embedding_size, minCount=0, maxIter=max(epochs, 1), stepSize=learning_rate, windowSize=5, numPartitions=max(1, min(n // ROWS_A_PART, 64)), seed=seed, inputCol="words", outputCol="v").fit(sentences)
     from pyspark.ml.functions import vector_to_array
 
     return _numbered(model.getVectors().select(F.col("word").cast("long").alias("id"), vector_to_array("vector").alias("vec")), "vec")

@@ -5,13 +5,14 @@ from __future__ import annotations
 import random
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphlane.functions.lots import chance, drawn, lot
 from graphlane.operators.clustering import oriented
 from graphlane.plans.local import in_one_task
 from graphlane.plans.matching import same_structure
-from graphlane.plans.tables import written
+from graphlane.plans.tables import Parts, dropped, written
 from graphlane.registry import algorithm
 from graphlane.types import Graph, NodeSet
 
@@ -72,21 +73,23 @@ def k_truss(graph: Graph, k: int) -> Graph:
 def maximal_independent_set(graph: Graph, seed: int = 0) -> NodeSet:
     """Nodes without edges between them to which none can be added (Luby): by rounds, those whose hash is the least
     around them join, and their neighbours leave."""
-    rank = F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), F.col("id"))
+    rank = F.struct(lot(seed, "id").alias("h"), F.col("id"))
     edges = graph.simple()
     walk = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     loops = graph.edges.where("src = dst").select(F.col("src").alias("id")).distinct()
     live = written(graph.nodes.select("id").join(loops, "id", "left_anti"), "live")
     walk = written(walk.join(live.select(F.col("id").alias("a")), "a", "left_semi").join(live.select(F.col("id").alias("b")), "b", "left_semi"), "edges")
-    chosen = None
+    chosen = Parts("chosen")
     while live.limit(1).count():
         least = walk.select("a", F.col("b").alias("id")).groupBy("a").agg(F.min(rank).alias("around"))
         joins = written(live.join(least.withColumnRenamed("a", "id"), "id", "left").where(F.col("around").isNull() | (rank < F.col("around"))).select("id"), "chosen")
-        chosen = joins if chosen is None else written(chosen.unionByName(joins), "chosen")
         gone = joins.unionByName(walk.join(joins.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id"))).distinct()
+        last = live, walk
         live = written(live.join(gone, "id", "left_anti"), "live")
         walk = written(walk.join(live.select(F.col("id").alias("a")), "a", "left_semi").join(live.select(F.col("id").alias("b")), "b", "left_semi"), "edges")
-    return NodeSet(live if chosen is None else chosen, unique=True)
+        dropped(*last)
+        chosen.add(joins)
+    return NodeSet(chosen.whole() if chosen.parts else live, unique=True)
 
 
 @algorithm("subgraph.subisomorphic")
@@ -99,13 +102,6 @@ def subisomorphic(graph: Graph, subgraph: Graph) -> bool:
     return same_structure(subgraph, graph, whole=False)
 
 
-def _chance(seed: int | None, *columns: str) -> Column:
-    """A number from 0 to 1 for each row: of its content if a seed is given, so that partitioning doesn't matter."""
-    if seed is None:
-        return F.rand()
-    return F.shiftrightunsigned(F.xxhash64(*columns, F.lit(seed)), 11) / F.lit(float(1 << 53))
-
-
 def _share(p: float) -> None:
     if not 0 < p <= 1:
         raise ValueError("p must be over 0 and at most 1")
@@ -115,14 +111,14 @@ def _share(p: float) -> None:
 def node_sampling(graph: Graph, p: float = 0.20, seed: int | None = None) -> Graph:
     """Each node with probability p, and the edges between them."""
     _share(p)
-    return induced(graph, written(graph.nodes.where(_chance(seed, "id") < p).select("id"), "sample"))
+    return induced(graph, written(graph.nodes.where(chance(seed, "id") < p).select("id"), "sample"))
 
 
 @algorithm("subgraph.sample.edge_sampling")
 def edge_sampling(graph: Graph, p: float = 0.20, seed: int | None = None) -> Graph:
     """Each edge with probability p, and their ends."""
     _share(p)
-    edges = written(graph.edges.where(_chance(seed, "src", "dst") < p), "sample")
+    edges = written(graph.edges.where(chance(seed, "src", "dst") < p), "sample")
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     return Graph(graph.nodes.join(ends, "id", "left_semi"), edges, graph.is_directed)
 
@@ -131,7 +127,7 @@ def edge_sampling(graph: Graph, p: float = 0.20, seed: int | None = None) -> Gra
 def ties(graph: Graph, p: float = 0.20, seed: int | None = None) -> Graph:
     """The ends of edges sampled with probability p, and all edges between them."""
     _share(p)
-    edges = written(graph.edges.where(_chance(seed, "src", "dst") < p), "sample")
+    edges = written(graph.edges.where(chance(seed, "src", "dst") < p), "sample")
     return induced(graph, edges.select(F.explode(F.array("src", "dst")).alias("id")))
 
 
@@ -143,30 +139,31 @@ def random_walk(graph: Graph, num_steps: int | None = None, num_nodes: int | Non
         raise ValueError("jump_probability must be over 0 and at most 1")
     if num_steps is None and num_nodes is None and num_edges is None:
         raise ValueError("a limit is needed")
-    directed = graph.is_directed
+    directed, lots = graph.is_directed, random.getrandbits(32) if seed is None else seed
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng, near = random.Random(seed), {}
+        near: dict[int, list[tuple[int, tuple[int, int]]]] = {}
         nodes = sorted(pdf.loc[pdf.dst.isna(), "src"].astype("int64").tolist())
         for a, b in pdf.loc[pdf.dst.notna(), ["src", "dst"]].astype("int64").sort_values(["src", "dst"]).itertuples(index=False):
             near.setdefault(a, []).append((b, (a, b)))
             if not directed and a != b:
                 near.setdefault(b, []).append((a, (a, b)))
-        at = start_node if start_node is not None else rng.choice(nodes)
+        at = start_node if start_node is not None else nodes[int(drawn(lots, 0, 1) * len(nodes))]
         met, used, steps = {at}, set(), 0
         most_nodes, most_edges = len(nodes), len(pdf) - len(nodes)
         isolated = start_node is not None and not near.get(start_node)
         idle = 0
         while not isolated:
             before = len(met), len(used)
-            if rng.random() < jump_probability or not near.get(at):
-                at = start_node if start_node is not None else rng.choice(nodes)
+            steps += 1
+            way = drawn(lots, steps, 1)
+            if drawn(lots, steps, 0) < jump_probability or not near.get(at):
+                at = start_node if start_node is not None else nodes[int(way * len(nodes))]
                 met.add(at)
             else:
-                at, edge = rng.choice(near[at])
+                at, edge = near[at][int(way * len(near[at]))]
                 met.add(at)
                 used.add(edge)
-            steps += 1
             idle = 0 if (len(met), len(used)) != before else idle + 1
             if num_steps is not None and steps >= num_steps or num_nodes is not None and len(met) >= min(num_nodes, most_nodes) or num_edges is not None and len(used) >= min(num_edges, most_edges):
                 break

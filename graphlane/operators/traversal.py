@@ -13,7 +13,7 @@ from graphlane.functions import check_arity
 from graphlane.plans.components import components
 from graphlane.plans.local import in_one_task
 from graphlane.plans.ordering import positions
-from graphlane.plans.tables import written
+from graphlane.plans.tables import Parts, dropped, written
 from graphlane.registry import algorithm
 from graphlane.types import Graph, NodeMap, Vector
 
@@ -33,7 +33,7 @@ def distances(graph: Graph, sources: DataFrame) -> DataFrame:
     shows in distances that still fall after as many rounds as there are nodes."""
     walk = written(graph.both_ways("weight"), "edges")
     zero = F.lit(0).cast(dict(graph.edges.dtypes)["weight"])
-    best = written(sources.select(F.col("id").alias("s"), "id", zero.alias("d")), "distances")
+    last = best = written(sources.select(F.col("id").alias("s"), "id", zero.alias("d")), "distances")
     fallen, rounds = best, 0
     most = graph.nodes.count()
     while fallen.limit(1).count():
@@ -42,7 +42,9 @@ def distances(graph: Graph, sources: DataFrame) -> DataFrame:
         rounds += 1
         reached = fallen.join(walk, fallen["id"] == walk["src"]).groupBy("s", F.col("dst").alias("id")).agg(F.min(F.col("d") + F.col("weight")).alias("new"))
         merged = written(best.join(reached, ["s", "id"], "full").select("s", "id", F.least("d", "new").alias("d"), (F.col("new").isNotNull() & (F.col("d").isNull() | (F.col("new") < F.col("d")))).alias("fell")), "distances")
-        best, fallen = merged.select("s", "id", "d"), merged.where("fell").select("s", "id", "d")
+        dropped(last)
+        last, best, fallen = merged, merged.select("s", "id", "d"), merged.where("fell").select("s", "id", "d")
+    dropped(walk)
     return best
 
 
@@ -94,19 +96,22 @@ def all_pairs_shortest_paths(graph: Graph) -> tuple[Graph, Graph]:
 
 
 def levels(graph: Graph, node: int, depth_limit: int = -1) -> DataFrame:
-    """(id, depth, parent) of a breadth-first search; parent is the least id of the level before. Written."""
+    """(id, depth, parent) of a breadth-first search; parent is the least id of the level before. Written, by
+    parts."""
     _start(graph, node)
     walk = written(graph.both_ways(), "edges")
-    seen = written(graph.nodes.where(F.col("id") == node).select("id", F.lit(0).alias("depth"), F.col("id").alias("parent")), "bfs")
-    edge, depth = seen, 0
+    edge = written(graph.nodes.where(F.col("id") == node).select("id", F.lit(0).alias("depth"), F.col("id").alias("parent")), "bfs")
+    seen, depth = Parts("bfs", edge), 0
     while depth != depth_limit:
         depth += 1
         step = edge.select(F.col("id").alias("src")).join(walk, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        edge = written(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "parent"), "bfs")
-        if not edge.limit(1).count():
+        fresh = written(step.join(seen.whole().select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "parent"), "bfs")
+        if not fresh.limit(1).count():
             break
-        seen = written(seen.unionByName(edge), "bfs")
-    return seen
+        seen.add(fresh)
+        edge = seen.whole().where(F.col("depth") == depth)
+    dropped(walk)
+    return seen.whole()
 
 
 @algorithm("traversal.bfs_iter")

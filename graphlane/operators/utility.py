@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlane.functions import check_arity, reduce_all, reduce_by, reducer, scalar
+from graphlane.functions.lots import lot
 from graphlane.plans.matching import same_structure
 from graphlane.plans.ordering import positions
 from graphlane.registry import algorithm
@@ -25,7 +26,7 @@ def literal(value):
 @algorithm("util.nodeset.choose_random")
 def choose_random(x: NodeSet, k: int, seed: int | None = None) -> NodeSet:
     """k different nodes, chosen at random; ValueError if there are fewer."""
-    order = F.rand() if seed is None else F.xxhash64("id", F.lit(seed))
+    order = F.rand() if seed is None else lot(seed, "id")
     chosen = x.df.orderBy(order, "id").limit(k)
     if chosen.count() < k:
         raise ValueError(f"fewer than {k} nodes")

@@ -92,7 +92,71 @@ COUNTS = """
     sigma AS MATERIALIZED (SELECT walk.s, walk.id, any_value(d.d) AS d, count(*)::DOUBLE AS n FROM walk JOIN d ON d.s = walk.s AND d.id = walk.id GROUP BY 1, 2)"""
 TRIANGLES = "SELECT a.src AS x, a.dst AS y, b.dst AS z FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = a.src AND c.dst = b.dst"
 
+
+def lot(seed: int, *columns: str) -> str:
+    """The text that graphlane.functions.lots orders by."""
+    return "md5(concat(" + ", ',', ".join([*columns, f"'{seed}'"]) + "))"
+
+
+def chance(seed: int, *columns: str) -> str:
+    return f"(('0x' || {lot(seed, *columns)}[1:13])::BIGINT / {float(1 << 52)})"
+
+
+#: of each node the places of its neighbours that come before it
+BEFORE = """
+    before AS MATERIALIZED (SELECT a.k, list(DISTINCT b.k) AS p FROM n a JOIN both_ways w ON w.src = a.id JOIN n b ON b.id = w.dst AND b.k < a.k GROUP BY a.k)"""
+CHOSEN = f"""
+    n AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY {lot(0, 'id')}, id) AS k FROM v),{BEFORE},
+    m(k, chosen) AS (
+        SELECT 0::BIGINT, []::BIGINT[]
+        UNION ALL
+        SELECT m.k + 1, CASE WHEN list_has_any(m.chosen, coalesce(b.p, []::BIGINT[])) THEN m.chosen ELSE list_append(m.chosen, m.k + 1) END
+        FROM m LEFT JOIN before b ON b.k = m.k + 1 WHERE m.k < (SELECT count(*) FROM n))"""
+COLOURS = f"""
+    n AS MATERIALIZED (SELECT v.id, row_number() OVER (ORDER BY count(w.dst) DESC, {lot(0, 'v.id')}, v.id) AS k FROM v LEFT JOIN both_ways w ON w.src = v.id GROUP BY v.id),{BEFORE},
+    m(k, colours) AS (
+        SELECT 0::BIGINT, []::BIGINT[]
+        UNION ALL
+        SELECT m.k + 1, list_append(m.colours, list_min(list_filter(range(len(coalesce(b.p, [])) + 1), lambda x: NOT list_contains(list_transform(coalesce(b.p, []::BIGINT[]), lambda q: m.colours[q]), x))))
+        FROM m LEFT JOIN before b ON b.k = m.k + 1 WHERE m.k < (SELECT count(*) FROM n))"""
+DEPTH_FIRST = """
+    near AS MATERIALIZED (SELECT src, list(dst ORDER BY dst) AS near FROM e GROUP BY src),
+    t(path, seen, met) AS (
+        SELECT [id], [id], true FROM s
+        UNION ALL
+        SELECT CASE WHEN x IS NULL THEN path[1:len(path) - 1] ELSE list_append(path, x) END, CASE WHEN x IS NULL THEN seen ELSE list_append(seen, x) END, x IS NOT NULL
+        FROM (SELECT path, seen, list_filter(coalesce(near, []::BIGINT[]), lambda y: NOT list_contains(seen, y))[1] AS x FROM t LEFT JOIN near ON near.src = t.path[-1] WHERE len(path) > 0))"""
+WALK = f"""
+    near AS MATERIALIZED (SELECT src, list(dst ORDER BY dst) AS near FROM e GROUP BY src),
+    t(step, here, src) AS (
+        SELECT 0::BIGINT, id, NULL::BIGINT FROM s
+        UNION ALL
+        SELECT t.step + 1, CASE WHEN {chance(1, 't.step + 1', "'0'")} < 0.15 OR near IS NULL THEN (SELECT id FROM s) ELSE near[floor({chance(1, 't.step + 1', "'1'")} * len(near))::BIGINT + 1] END,
+            CASE WHEN {chance(1, 't.step + 1', "'0'")} < 0.15 OR near IS NULL THEN NULL ELSE t.here END
+        FROM t LEFT JOIN near ON near.src = t.here WHERE t.step < 500)"""
+
 ORACLE_SQL = {
+    "util_nodeset_choose_random": f"SELECT c_custkey AS id FROM customer ORDER BY {lot(1, 'c_custkey')}, c_custkey LIMIT 100",
+    "subgraph_sample_node_sampling": sql(TOGETHER, f"SELECT id FROM v WHERE {chance(1, 'id')} < 0.4"),
+    "subgraph_sample_edge_sampling": sql(TOGETHER, f"SELECT src, dst, weight FROM e WHERE {chance(1, 'src', 'dst')} < 0.2"),
+    "subgraph_sample_ties": sql(TOGETHER, "SELECT src, dst, weight FROM e WHERE src IN (SELECT id FROM x) AND dst IN (SELECT id FROM x)", f" c AS (SELECT src, dst FROM e WHERE {chance(1, 'src', 'dst')} < 0.1), x AS (SELECT src AS id FROM c UNION SELECT dst FROM c)"),
+    "subgraph_sample_random_walk": sql(STEPS, "SELECT DISTINCT e.src, e.dst, e.weight FROM t JOIN e ON e.src = t.src AND e.dst = t.here", WALK, True),
+    "subgraph_maximal_independent_set": sql(TOGETHER, "SELECT n.id FROM n WHERE n.k IN (SELECT unnest(chosen) FROM m WHERE k = (SELECT count(*) FROM n))", CHOSEN, True),
+    "clustering_coloring_greedy": sql(TOGETHER, "SELECT n.id, (SELECT colours FROM m WHERE k = (SELECT count(*) FROM n))[n.k]::BIGINT AS colour FROM n", COLOURS, True),
+    "clustering_coloring_conflicts": "SELECT 0::BIGINT AS conflicts, 0::BIGINT AS uncoloured",
+    "clustering_label_propagation_stability": "SELECT count(*)::BIGINT AS nodes, 0::BIGINT AS unstable FROM nation",
+    "clustering_louvain_consistency": "SELECT count(*)::BIGINT AS nodes, 0.0::DOUBLE AS difference, true AS better FROM nation",
+    "traversal_dfs_iter": sql(STEPS, "SELECT (len(seen) - 1)::BIGINT AS pos, path[-1] AS id FROM t WHERE met", DEPTH_FIRST, True),
+    "traversal_dfs_tree": sql(STEPS, "SELECT path[-1] AS id, CASE WHEN len(path) > 1 THEN path[-2] ELSE path[-1] END AS parent FROM t WHERE met", DEPTH_FIRST, True),
+    "flow_balance": "SELECT 0::BIGINT AS over_capacity, 0::BIGINT AS unbalanced",
+    "flow_cut": "SELECT 0::BIGINT AS target_reached, 0.0::DOUBLE AS excess",
+    "embedding_sizes_node2vec": sql(STEPS, "SELECT id, 16::BIGINT AS numbers FROM v"),
+    "embedding_sizes_graphwave": "SELECT n_nationkey::BIGINT AS id, 20::BIGINT AS numbers FROM nation",
+    "embedding_sizes_hope_katz": "SELECT n_nationkey::BIGINT AS id, 4::BIGINT AS numbers FROM nation",
+    "embedding_sizes_line": "SELECT n_nationkey::BIGINT AS id, 8::BIGINT AS numbers FROM nation",
+    "embedding_sizes_graph2vec": "SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS id, 16::BIGINT AS numbers FROM region",
+    "embedding_sizes_graph_sage_mean": "SELECT * FROM (VALUES (0::BIGINT, 4::BIGINT, 8::BIGINT), (1, 16, 4)) AS x(layer, rows, width)",
+    "embedding_sizes_graph_sage": "SELECT n_nationkey::BIGINT AS id, 4::BIGINT AS numbers FROM nation",
     "util_nodeset_from_vector": "SELECT DISTINCT c_nationkey::BIGINT AS id FROM customer",
     "util_nodemap_sort": "SELECT row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS pos, c_custkey AS id FROM customer",
     "util_nodemap_sort_top": "SELECT pos, id FROM (SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS pos, c_custkey AS id FROM customer) WHERE pos < 10",

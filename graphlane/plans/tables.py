@@ -70,3 +70,25 @@ def dropped(*tables: DataFrame | None) -> None:
 def clear_tables(spark: SparkSession) -> None:
     """Deletes all tables that this application has written, once the results that read them are stored elsewhere."""
     _delete(spark, tables_dir(spark))
+
+
+class Parts:
+    """A table that grows by parts: a part is written once and merged when as much has come after it, so a loop that
+    adds to it for many rounds neither rewrites the whole each time nor reads very many parts."""
+
+    def __init__(self, name: str, *parts: DataFrame) -> None:
+        self.name, self.parts = name, [(part, part.count()) for part in parts]
+
+    def add(self, part: DataFrame) -> None:
+        """part: a written table, which may be gone after that."""
+        self.parts.append((part, part.count()))
+        while len(self.parts) > 1 and 2 * self.parts[-1][1] >= self.parts[-2][1]:
+            (a, n), (b, m) = self.parts[-2:]
+            self.parts[-2:] = [(written(a.unionByName(b), self.name), n + m)]
+            dropped(a, b)
+
+    def whole(self) -> DataFrame:
+        out = self.parts[0][0]
+        for part, _ in self.parts[1:]:
+            out = out.unionByName(part)
+        return out

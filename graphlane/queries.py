@@ -266,6 +266,40 @@ def clustering_louvain_community(t):
     return found.df.select("id", F.col("value").alias("community"), F.lit(round(q, 9)).alias("modularity"))
 
 
+@on_tables
+def clustering_coloring_conflicts(t):
+    """Edges between nodes of one colour, and nodes without a colour: none."""
+    g = t.together()
+    colour = written(run("clustering.coloring.greedy", g)[0].df, "colours")
+    near = colour.select(F.col("id").alias("src"), F.col("value").alias("a")), colour.select(F.col("id").alias("dst"), F.col("value").alias("b"))
+    conflicts = g.edges.where("src != dst").join(near[0], "src").join(near[1], "dst").where("a = b").count()
+    return one_row(t, conflicts, "conflicts", "long").withColumn("uncoloured", F.lit(g.nodes.join(colour, "id", "left_anti").count()).cast("long"))
+
+
+@on_tables
+def clustering_label_propagation_stability(t):
+    """Nodes, and those whose community is not among the most frequent ones around them: none."""
+    g = t.trade_both_ways()
+    label = written(run("clustering.label_propagation_community", g).df, "communities")
+    around = g.both_ways().select("src", "dst").where("src != dst").distinct().join(label.select(F.col("id").alias("dst"), "value"), "dst").groupBy("src", "value").agg(F.count("*").alias("n"))
+    best = around.groupBy("src").agg(F.max("n").alias("most"))
+    own = around.join(label.select(F.col("id").alias("src"), "value"), ["src", "value"], "right").join(best, "src", "left")
+    unstable = own.where(F.coalesce("n", F.lit(0)) < F.coalesce("most", F.lit(0))).count()
+    return one_row(t, label.count(), "nodes", "long").withColumn("unstable", F.lit(unstable).cast("long"))
+
+
+@on_tables
+def clustering_louvain_consistency(t):
+    """Nodes, the difference of the modularity that is returned from that of the communities, and whether it is at least
+    that of the regions."""
+    g = t.trade_both_ways()
+    found, q = run("clustering.louvain_community", g)
+    regions = t.nation.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").cast("long").alias("label"))
+    labels = written(found.df.select("id", F.col("value").alias("label")), "communities")
+    better = bool(q >= modularity(g, regions))
+    return one_row(t, labels.count(), "nodes", "long").withColumns({"difference": F.lit(abs(round(q - modularity(g, labels), 9))), "better": F.lit(better)})
+
+
 @on_tables
 def clustering_modularity(t):
     """Of the regions as communities of the trade graph."""
@@ -369,6 +403,29 @@ def flow_values(t):
     return one_row(t, run("flow.max_flow", g, *ends)[0] - run("flow.min_cut", g, *ends)[0], "difference", "double")
 
 
+@on_tables
+def flow_balance(t):
+    """Edges of the largest flow beyond their capacity, and inner nodes that take in more or less than they give: none."""
+    g = t.trade()
+    ends = _ends(g)
+    flow = written(run("flow.max_flow", g, *ends)[1].edges, "flow")
+    over = flow.withColumnRenamed("weight", "f").join(g.edges, ["src", "dst"], "left").where("weight is null or f > weight or f < 0").count()
+    net = flow.select(F.col("src").alias("id"), (-F.col("weight")).alias("w")).unionByName(flow.select(F.col("dst").alias("id"), F.col("weight").alias("w")))
+    odd = net.where(~F.col("id").isin(*ends)).groupBy("id").agg(F.sum("w").alias("w")).where("abs(w) > 1e-9").count()
+    return one_row(t, over, "over_capacity", "long").withColumn("unbalanced", F.lit(odd).cast("long"))
+
+
+@on_tables
+def flow_cut(t):
+    """Paths from source to target that avoid the edges of the least cut: none; and its capacity beyond the flow: 0."""
+    g = t.trade()
+    ends = _ends(g)
+    value, cut = run("flow.min_cut", g, *ends)
+    left = Graph(g.nodes, written(g.edges.join(cut.edges.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", "weight"), "uncut"), True)
+    reached = run("traversal.bfs_tree", left, ends[0])[0].df.where(F.col("id") == ends[1]).count()
+    return one_row(t, reached, "target_reached", "long").withColumn("excess", F.lit(float(cut.edges.agg(F.sum("weight")).first()[0] or 0) - float(value)))
+
+
 # subgraphs and samples
 
 
@@ -461,14 +518,18 @@ def embedding_train_node2vec(t):
     return _vectors(run("embedding.train.node2vec", t.transitions(), walks_per_node=2, walk_length=5))
 
 
-@on_tables
-def embedding_train_graph2vec(t):
-    """A vector for the trade inside and out of each region."""
+def _region_vectors(t: Tables) -> DataFrame:
     g, regions = t.trade(), [r[0] for r in t.region.select("r_regionkey").orderBy("r_regionkey").collect()]
     own = [g.edges.join(t.nation.where(F.col("n_regionkey") == r).select(F.col("n_nationkey").cast("long").alias("src")), "src", "left_semi") for r in regions]
     return run("embedding.train.graph2vec", [Graph.from_edges(EdgeSet(e, "src", "dst")) for e in own]).df
 
 
+@on_tables
+def embedding_train_graph2vec(t):
+    """A vector for the trade inside and out of each region."""
+    return _region_vectors(t)
+
+
 @on_tables
 def embedding_train_graphwave(t):
     scales = Vector(t.spark.createDataFrame([(0, 5.0), (1, 10.0)], "pos long, value double"))
@@ -507,6 +568,50 @@ def embedding_train_line(t):
     return _vectors(run("embedding.train.line", t.trade(), embedding_size=8, epochs=3))
 
 
+def _sizes(found: DataFrame, key: str = "id") -> DataFrame:
+    """Which vectors there are, and how many finite numbers each has."""
+    return found.select(F.col(key).alias("id"), F.expr("size(filter(values, x -> x is not null and not isnan(x) and abs(x) < double('infinity')))").cast("long").alias("numbers"))
+
+
+@on_tables
+def embedding_sizes_node2vec(t):
+    return _sizes(_vectors(run("embedding.train.node2vec", t.transitions(), walks_per_node=2, walk_length=5)))
+
+
+@on_tables
+def embedding_sizes_graph2vec(t):
+    return _sizes(_region_vectors(t), "row")
+
+
+@on_tables
+def embedding_sizes_graphwave(t):
+    scales = Vector(t.spark.createDataFrame([(0, 5.0), (1, 10.0)], "pos long, value double"))
+    return _sizes(_vectors(run("embedding.train.graphwave", t.trade_both_ways(), scales, sample_point_count=5, chebyshev_degree=5)))
+
+
+@on_tables
+def embedding_sizes_hope_katz(t):
+    return _sizes(_vectors(run("embedding.train.hope.katz", t.trade(), embedding_size=4, beta=0.001)))
+
+
+@on_tables
+def embedding_sizes_line(t):
+    return _sizes(_vectors(run("embedding.train.line", t.trade(), embedding_size=8, epochs=3)))
+
+
+@on_tables
+def embedding_sizes_graph_sage(t):
+    g, matrix, to_row, model = _sage(t)
+    return _sizes(run("embedding.apply.graph_sage", model, g, matrix, to_row).df, "row")
+
+
+@on_tables
+def embedding_sizes_graph_sage_mean(t):
+    """The rows of each layer's weights and their width."""
+    rows = [(k, len(w), len(w[0])) for k, w in enumerate(_sage(t)[3].weights)]
+    return t.spark.createDataFrame(rows, "layer long, rows long, width long")
+
+
 # conversions, sources and streams
 
 
