@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from graphlane import CONFIG, EdgeMap, EdgeSet, Matrix, NodeMap, NodeSet, Vector, algorithm, convert, describe, list_algorithms, plan, run
+from graphlane import CONFIG, EdgeMap, EdgeSet, Matrix, NodeMap, NodeSet, Vector, algorithm, convert, describe, list_algorithms, list_types, plan, run, solve_algorithm
 from graphlane.convert import canonicalize, from_mask, from_numpy, reindex, symmetrize
 from graphlane.sources import from_pandas_edges, node_map, node_set, read_edges, write_edges
 from tests.graph.util import STANDARD, edges, graph, ids
@@ -63,3 +63,69 @@ def test_catalogue(spark, capsys):
     finally:
         CONFIG["log_plans"] = False
     assert "test.own.count" in capsys.readouterr().out
+
+
+def test_choices_and_conversions_of_dispatch(spark):
+    m = node_map(spark, {1: 5, 2: 6})
+
+    @algorithm("test.own.size", version=1)
+    def size(x: NodeSet) -> int:
+        return len(x)
+
+    @algorithm("test.own.size", version=1, impl="doubled")
+    def doubled(x: NodeSet) -> int:
+        return 2 * len(x)
+
+    s = node_set(spark, [1, 2, 3])
+    assert s.run("test.own.size") == 3 == run("test.own.size", s) and run("test.own.size", s, impl="doubled") == 6 == size(s, impl="doubled")
+    assert run("test.own.size", m) == 2  # a node map serves as a node set
+    assert solve_algorithm("test.own.size", m)["arguments"]["x"] == {"given": "NodeMap", "used": "NodeSet"}
+    with pytest.raises(KeyError):
+        run("test.own.size", s, impl="unknown")
+    CONFIG["allow_conversion"] = False
+    try:
+        assert "must be NodeSet" in solve_algorithm("test.own.size", m)["error"]
+        with pytest.raises(TypeError):
+            run("test.own.size", m)
+    finally:
+        CONFIG["allow_conversion"] = True
+    with pytest.warns(UserWarning, match="no version 7"):
+        algorithm("test.own.size", version=7, impl="newer")(lambda x: 0)
+    CONFIG["outdated_version"] = "raise"
+    try:
+        with pytest.raises(ValueError):
+            algorithm("test.own.size", version=0, impl="older")(lambda x: 0)
+    finally:
+        CONFIG["outdated_version"] = "ignore"
+    assert describe("test.own.size")["implementations"] == ["dataframe", "doubled", "newer"] and "NodeSet" in list_types()["NodeMap"]
+
+
+def test_loops_leave_one_state_on_disk(spark):
+    import os
+
+    from graphlane.operators.traversal import distances
+    from graphlane.plans.components import components
+    from graphlane.plans.tables import tables_dir
+
+    folder = tables_dir(spark).removeprefix("file:")
+    here = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    before = here()
+    path = spark.createDataFrame([(i, i + 1, 1) for i in range(40)], "src long, dst long, weight long")
+    assert components(path).where("label = 0").count() == 41
+    assert [x.split("-")[0] for x in here() - before] == ["labels"]
+    before = here()
+    g = graph(spark, [(i, i + 1, 1) for i in range(12)])
+    assert distances(g, g.nodes.where("id = 0").select("id")).count() == 13
+    assert [x.split("-")[0] for x in here() - before] == ["distances"]
+
+
+def test_loader_errors(spark):
+    from graphlane.sources import coo_to_csr
+
+    coo = spark.createDataFrame([(0, 1, 1.0), (0, 3, 2.0), (4, 0, 3.0)], "row long, col long, value double")
+    placed, pointers = coo_to_csr(coo, (5, 4))
+    assert [r.start for r in pointers.orderBy("row").collect()] == [0, 2, 2, 2, 2, 3] and placed.count() == 3
+    for shape in ((4, 4), (5, 3)):
+        with pytest.raises(ValueError):
+            coo_to_csr(coo, shape)
+    assert [r.start for r in coo_to_csr(coo.limit(0), (2, 2))[1].orderBy("row").collect()] == [0, 0, 0]
