@@ -10,7 +10,7 @@ from graphlane.oracle import ORACLE_SQL
 from graphlane.queries import QUERIES, Tables
 
 SF = "/root/testdata/sf0.001"
-QUICK = [q for q in ORACLE_SQL if q.startswith(("util_", "subgraph_extract", "subgraph_k_truss", "bipartite", "embedding_apply", "convert_", "source_", "stream_", "traversal_b", "traversal_all", "centrality_degree", "clustering_triangle", "clustering_modularity", "flow_values"))]
+QUICK = [q for q in ORACLE_SQL if q.startswith(("util_", "subgraph_extract", "subgraph_k_truss", "bipartite", "embedding_apply", "convert_", "source_", "stream_", "traversal_b", "traversal_all", "centrality_degree", "clustering_triangle", "clustering_modularity", "flow_", "subgraph_sample", "traversal_dfs"))]
 
 
 @pytest.fixture(scope="module")
