@@ -20,7 +20,7 @@ from graphlane.llm.packed import met_in, once_each, press, repeated_values, unpr
 from graphlane.plans.components import components, extended, relabelled
 
 BLOCK = 256  # members of a value that one block holds
-BAG = 256  # counters that what a thing holds is folded into
+BAG = 1024  # counters that what a thing holds is folded into
 CHUNK_ROWS = 4000
 Verify = Callable[[DataFrame], DataFrame]
 
@@ -110,7 +110,7 @@ def collisions(members: DataFrame, things: DataFrame, labels: DataFrame, bound:
                 continue
             s, number, visits, key, of, rest, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
             left_over = size - batch.column(8).to_numpy(zero_copy_only=False)
-            bags = None if batch.column(7).null_count else np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16)
+            bags = None if batch.column(7).null_count else np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, BAG)
             new = (s[1:] != s[:-1]) | (number[1:] != number[:-1]) | (visits[1:] != visits[:-1])
             edges = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
             left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -128,7 +128,7 @@ def collisions(members: DataFrame, things: DataFrame, labels: DataFrame, bound:
                         ok &= np.minimum(hl[:, None], left_over[None, i:end]) >= most / 2 * (hs[:, None] + size[None, i:end]) - 1e-9
                     x, y = np.nonzero(ok)
                     if len(x) and hb is not None and bags is not None:
-                        apart = [hb[x[j : j + 65536]] - bags[i:end][y[j : j + 65536]] for j in range(0, len(x), 65536)]
+                        apart = (hb[x[j : j + 4096]].astype(np.int16) - bags[i:end][y[j : j + 4096]] for j in range(0, len(x), 4096))
                         far = np.concatenate([np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1)) for d in apart])
                         x, y = x[far <= limit[x, y]], y[far <= limit[x, y]]
                     left.append(hk[x])
