@@ -3,15 +3,18 @@
 Things that share a value are candidates. First everything is compared with the least thing that it shares values with,
 the one that it shares most with first; this links a group of any size at a cost in proportion to it. Then all other
 candidates that no links connect are met: members of a value with several classes are dealt into blocks, and every pair of
-different classes is compared, unless sizes or folded counts prove it too far apart.
+different classes is compared, in one block, unless sizes, folded counts or an alignment of folded words prove it too far
+apart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,14 +24,56 @@ from graphlane.plans.components import components, extended, relabelled
 
 BLOCK = 256  # members of a value that one block holds
 BAG = 1024  # counters that what a thing holds is folded into
+HELD = 2048  # most words of a thing that go with it, folded to 16 bits; of longer ones only the counters do
 CHUNK_ROWS = 4000
 Verify = Callable[[DataFrame], DataFrame]
+Close = Callable[[list[int], list[int]], bool]
 
 
-def bags(h: np.ndarray, lens: np.ndarray) -> list[bytes]:
-    """What each thing holds, given by hashes that follow each other, counted in BAG counters that stop at 255."""
-    slot = np.repeat(np.arange(len(lens)) * BAG, lens) + ((h >> np.uint64(32)) % np.uint64(BAG)).astype(np.int64)
-    return [x.tobytes() for x in np.minimum(np.bincount(slot, minlength=len(lens) * BAG), 255).astype(np.uint8).reshape(-1, BAG)]
+def counted(folded: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """What each thing holds (a row each), given by words of 16 bits that follow each other, in counters that stop at 255."""
+    slot = np.repeat(np.arange(len(lens)) * BAG, lens) + folded.astype(np.int64) % BAG
+    return np.minimum(np.bincount(slot, minlength=len(lens) * BAG), 255).astype(np.uint8).reshape(-1, BAG)
+
+
+def held(h: np.ndarray) -> bytes:
+    """What a thing holds, given by hashes in order: 16 bits of each, or the counters if there are more than HELD."""
+    folded = (h >> np.uint64(32)).astype(np.uint16)
+    return folded.tobytes() if len(h) <= HELD else counted(folded, np.array([len(h)])).tobytes()
+
+
+class _Rows:
+    """Members of a value that one task compares with others."""
+
+    def __init__(self, batch: pa.RecordBatch, s: int) -> None:
+        self.key, self.of, self.other, self.size, pos = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "class", "other", "size", "pos"))
+        self.left_over = self.size - pos
+        self.held = None if batch.column("held").null_count else batch.column("held").to_pylist()
+        values = batch.column("values")
+        if not values.null_count:
+            row, value = np.repeat(np.arange(len(self.key)), pc.list_value_length(values).to_numpy(zero_copy_only=False)), values.flatten().to_numpy(zero_copy_only=False)
+            self.row, self.value = row[value < s], value[value < s]
+
+    @cached_property
+    def counts(self) -> np.ndarray:
+        out, short = np.empty((len(self.key), BAG), np.uint8), self.size <= HELD
+        out[short] = counted(np.frombuffer(b"".join(x for x, ok in zip(self.held, short, strict=True) if ok), np.uint16), self.size[short])
+        out[~short] = np.frombuffer(b"".join(x for x, ok in zip(self.held, short, strict=True) if not ok), np.uint8).reshape(-1, BAG)
+        return out
+
+    def words(self, row: int) -> list[int] | None:
+        return np.frombuffer(self.held[row], np.uint16).tolist() if self.size[row] <= HELD else None
+
+    def met_before(self, more: _Rows) -> np.ndarray:
+        """Whether the rows (those of more: columns) share a value that is less than this one."""
+        known = np.intersect1d(self.value, more.value)
+        sides = []
+        for x in (self, more):
+            hit = np.isin(x.value, known)
+            has = np.zeros((len(x.key), len(known)), np.float32)
+            has[x.row[hit], np.searchsorted(known, x.value[hit])] = 1
+            sides.append(has)
+        return sides[0] @ sides[1].T > 0
 
 
 def sharing(things: DataFrame) -> DataFrame:
@@ -77,17 +122,19 @@ def mixed(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     return each, written(met.select("s", "c", "main"), "collision-values")
 
 
-def collisions(members: DataFrame, things: DataFrame, labels: DataFrame, bound: float, block: int = BLOCK) -> DataFrame:
+def collisions(members: DataFrame, things: DataFrame, labels: DataFrame, bound: float, close: Close | None = None, block: int = BLOCK) -> DataFrame:
     """Distinct pairs (a, b), a < b, of all things that share a value and that labels do not connect; things: key, size and
-    bag. Left out are only pairs that cannot be similar.
+    held. Left out are only pairs that cannot be similar.
 
-    members: s and key; pairs are left out whose sizes, or folded counts, differ by more than bound of the larger size. If
-    members have pos, they are prefixes of sets, s a set's rarest elements and pos their places, from 0, among its
-    elements by falling rarity; then pairs are left out that after places so far back have too few elements left for a
-    Jaccard similarity of 1 - bound.
+    members: s and key; pairs are left out whose sizes, or folded counts, differ by more than bound of the larger size, or
+    whose folded words are not close; folding makes different words equal, never equal ones different. If members have
+    pos, they are prefixes of sets, s a set's rarest elements and pos their places, from 0, among its elements by falling
+    rarity; then things hold nothing, and pairs are left out that after places so far back have too few elements left for
+    a Jaccard similarity of 1 - bound.
 
     A value's members are dealt into blocks by the hash of the key. Each is at home in one block, and those outside the
-    value's largest class visit all its blocks, so that a large class costs a row a member."""
+    value's largest class visit all its blocks, so that a large class costs a row a member. Without pos each brings its
+    values along, and a pair is met at the least value that it shares and nowhere else."""
     each, met = mixed(members, labels)
     values = met.select("s", F.ceil(F.col("c") / block).cast("int").alias("blocks"), "main")
     by_place = "pos" in members.columns
@@ -96,48 +143,55 @@ def collisions(members: DataFrame, things: DataFrame, labels: DataFrame, bound:
         early = each.join(things.select("key", "size"), "key").where(F.col("pos") < F.col("size") - F.ceil(most * F.col("size") - 1e-9) + 1)
         values = values.join(early.select("s").distinct(), "s", "left_semi")  # the smaller one of a pair has it early on
     own = written(each.join(values, "s"), "collision-members")
-    more = [F.lit(None).cast("binary").alias("bag"), "pos"] if by_place else ["bag", F.lit(0).alias("pos")]
-    bags = written(own.join(things.select("key", "size", *([] if by_place else ["bag"])), "key").select("s", "key", "class", "blocks", "main", "size", *more), "collision-bags")
+    if by_place:
+        known, pos = things.select("key", "size", F.lit(None).cast("binary").alias("held"), F.lit(None).cast("array<bigint>").alias("values")), "pos"
+    else:
+        known, pos = things.select("key", "size", "held").join(own.groupBy("key").agg(F.collect_list("s").alias("values")), "key"), F.lit(0).alias("pos")  # no more than a thing's sketches
+    whole = written(own.join(known, "key").select("s", "key", "class", "blocks", "main", "size", "held", "values", pos), "collision-held")
     other = F.col("class") != F.col("main")
-    homes = bags.select("s", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("visits"), "key", "class", other.alias("other"), "size", "bag", "pos")
-    visitors = bags.where(other).select("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visits"), "key", "class", F.lit(True).alias("other"), "size", "bag", "pos")
+    homes = whole.select("s", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("visits"), "key", "class", other.alias("other"), "size", "held", "values", "pos")
+    visitors = whole.where(other).select("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visits"), "key", "class", F.lit(True).alias("other"), "size", "held", "values", "pos")
     dealt = homes.unionByName(visitors).repartition("s", "block").sortWithinPartitions("s", "block", "visits")
 
+    def met_by(home: _Rows, rows: _Rows) -> tuple[np.ndarray, np.ndarray]:
+        limit = bound * np.maximum(home.size[:, None], rows.size[None]) + 1e-9
+        ok = (home.of[:, None] != rows.of[None]) & (~home.other[:, None] | (home.key[:, None] < rows.key[None])) & (np.abs(home.size[:, None] - rows.size[None]) <= limit)
+        if by_place:
+            ok &= np.minimum(home.left_over[:, None], rows.left_over[None]) >= most / 2 * (home.size[:, None] + rows.size[None]) - 1e-9
+        elif ok.any():
+            ok &= ~home.met_before(rows)
+        x, y = np.nonzero(ok)
+        if len(x) and not by_place:
+            apart = (home.counts[x[j : j + 4096]].astype(np.int16) - rows.counts[y[j : j + 4096]] for j in range(0, len(x), 4096))
+            far = np.concatenate([np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1)) for d in apart])
+            x, y = x[far <= limit[x, y]], y[far <= limit[x, y]]
+        if len(x) and close:
+            near = np.array([(a := home.words(i)) is None or (b := rows.words(j)) is None or close(a, b) for i, j in zip(x.tolist(), y.tolist(), strict=True)])
+            x, y = x[near], y[near]
+        return home.key[x], rows.key[y]
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, home = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            s, number, visits, key, of, rest, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
-            left_over = size - batch.column(8).to_numpy(zero_copy_only=False)
-            bags = None if batch.column(7).null_count else np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, BAG)
+            s, number, visits = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             new = (s[1:] != s[:-1]) | (number[1:] != number[:-1]) | (visits[1:] != visits[:-1])
             edges = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
-            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 if at != (s[lo], number[lo]):
                     at, home = (s[lo], number[lo]), []
-                if not visits[lo]:
-                    home.append((key[lo:hi], of[lo:hi], rest[lo:hi], size[lo:hi], left_over[lo:hi], None if bags is None else bags[lo:hi]))
-                    continue
-                for (hk, ho, hr, hs, hl, hb), i in ((x, i) for x in home for i in range(lo, hi, block)):
-                    end = min(hi, i + block)
-                    limit = bound * np.maximum(hs[:, None], size[None, i:end]) + 1e-9
-                    ok = (ho[:, None] != of[None, i:end]) & (~hr[:, None] | (hk[:, None] < key[None, i:end])) & (np.abs(hs[:, None] - size[None, i:end]) <= limit)
-                    if by_place:
-                        ok &= np.minimum(hl[:, None], left_over[None, i:end]) >= most / 2 * (hs[:, None] + size[None, i:end]) - 1e-9
-                    x, y = np.nonzero(ok)
-                    if len(x) and hb is not None and bags is not None:
-                        apart = (hb[x[j : j + 4096]].astype(np.int16) - bags[i:end][y[j : j + 4096]] for j in range(0, len(x), 4096))
-                        far = np.concatenate([np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1)) for d in apart])
-                        x, y = x[far <= limit[x, y]], y[far <= limit[x, y]]
-                    left.append(hk[x])
-                    right.append(key[i:end][y])
-            a, b = np.concatenate(left), np.concatenate(right)
+                parts = (_Rows(batch.slice(i, min(block, hi - i)), s[lo]) for i in range(lo, hi, block))
+                if visits[lo]:
+                    pairs += [met_by(x, rows) for rows in parts for x in home]
+                else:
+                    home += parts
+            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     pairs = written(dealt.mapInArrow(meet, "a long, b long").distinct(), "collisions")
-    dropped(each, met, own, bags)
+    dropped(each, met, own, whole)
     return pairs
 
 

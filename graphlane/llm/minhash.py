@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from graphlane.llm.common import dropped, pieces_of, text_or_empty, written
 from graphlane.llm.hashing import BASE, grams, mix, word_hashes
-from graphlane.llm.linking import bags, classes, collisions, sharing
+from graphlane.llm.linking import classes, collisions, held, sharing
 
 M = 64
 SIMILARITY = 0.8
@@ -140,12 +140,12 @@ def _banded(a: list[int], b: list[int], limit: int) -> bool:
     return distance <= limit
 
 
-def similar(a: list[str], b: list[str], similarity: float = SIMILARITY) -> bool:
+def similar(a: list, b: list, similarity: float = SIMILARITY) -> bool:
     """Whether 1 - (word edit distance) / (words of the longer text) is at least similarity."""
     limit = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
     if abs(len(a) - len(b)) > limit:
         return False
-    known: dict[str, int] = {}
+    known: dict = {}
     add = known.setdefault
     x, y = [add(w, len(known)) for w in a], [add(w, len(known)) for w in b]
     end, n = min(len(x), len(y)), 0
@@ -162,11 +162,14 @@ def similar(a: list[str], b: list[str], similarity: float = SIMILARITY) -> bool:
         x, y = y, x
     if len(x) <= limit:
         return True
+    more = np.bincount(x, minlength=len(known)) - np.bincount(y, minlength=len(known))
+    if max(more.clip(0).sum(), (-more).clip(0).sum()) > limit:  # words that one of them lacks
+        return False
     return limit > 64 and _banded(x, y, 32) or _banded(x, y, limit)
 
 
 def _sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Written: gl_rec, gl_id, gl_key (unique), gl_digest (null without words), gl_sketch, gl_size (words), gl_bag."""
+    """Written: gl_rec, gl_id, gl_key (unique), gl_digest (null without words), gl_sketch, gl_size (words), gl_held."""
     rows = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("gl_rec"), F.col(id_col).alias("gl_id"))
     at = df.columns.index(text_col)
 
@@ -184,10 +187,10 @@ def _sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 digests = [hashlib.blake2b(" ".join(own).encode(), digest_size=16).digest() if own else None for own in texts]
                 hashed = [h[x] for x in numbers]
                 lens = np.fromiter(map(len, hashed), np.int64, len(hashed))
-                yield pa.RecordBatch.from_arrays([*whole.slice(start, len(part)).columns, pa.array(range(row, row + len(part)), pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches(hashed), pa.binary()), pa.array(lens, pa.int32()), pa.array(bags(np.concatenate(hashed), lens), pa.binary())], ["gl_rec", "gl_id", "gl_key", "gl_digest", "gl_sketch", "gl_size", "gl_bag"])
+                yield pa.RecordBatch.from_arrays([*whole.slice(start, len(part)).columns, pa.array(range(row, row + len(part)), pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches(hashed), pa.binary()), pa.array(lens, pa.int32()), pa.array([held(x) for x in hashed], pa.binary())], ["gl_rec", "gl_id", "gl_key", "gl_digest", "gl_sketch", "gl_size", "gl_held"])
                 row += len(part)
 
-    out = T.StructType([*rows.schema.fields, T.StructField("gl_key", T.LongType()), T.StructField("gl_digest", T.BinaryType()), T.StructField("gl_sketch", T.BinaryType()), T.StructField("gl_size", T.IntegerType()), T.StructField("gl_bag", T.BinaryType())])
+    out = T.StructType([*rows.schema.fields, T.StructField("gl_key", T.LongType()), T.StructField("gl_digest", T.BinaryType()), T.StructField("gl_sketch", T.BinaryType()), T.StructField("gl_size", T.IntegerType()), T.StructField("gl_held", T.BinaryType())])
     return written(rows.mapInArrow(sketch, out), "omh-sketch")
 
 
@@ -197,7 +200,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, similarity: float) -> tu
     order = F.struct(F.col("gl_id").isNull().alias("no_id"), F.col("gl_id").alias("id"), F.col("gl_key").alias("key"))
     reps = rows.where("gl_digest is not null").groupBy("gl_digest").agg(F.min(order).alias("best"), F.count("*").alias("n"))
     reps = written(reps.select("gl_digest", "best", "n", F.col("best.key").alias("key")), "omh-texts")
-    own = rows.select(F.col("gl_key").alias("key"), F.col("gl_sketch").alias("sketch"), F.col("gl_size").alias("size"), F.col("gl_bag").alias("bag"))
+    own = rows.select(F.col("gl_key").alias("key"), F.col("gl_sketch").alias("sketch"), F.col("gl_size").alias("size"), F.col("gl_held").alias("held"))
     things = own.join(reps.select("key").hint("merge"), "key", "left_semi")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -211,7 +214,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, similarity: float) -> tu
         return links
 
     members = sharing(things)
-    label = classes(members, verify, lambda m, known: collisions(m, own, known, 1 - similarity))
+    label = classes(members, verify, lambda m, known: collisions(m, own, known, 1 - similarity, lambda a, b: similar(a, b, similarity)))
     joined = written(reps.join(label, reps["key"] == label["id"], "left").select("gl_digest", "best", "n", F.coalesce("label", "key").alias("label")), "omh-classes")
     whole = joined.groupBy("label").agg(F.min("best").alias("class_best"), F.sum("n").alias("class_size"))
     whole = written(joined.join(whole, "label").select("gl_digest", "class_best", "class_size"), "omh-members")

@@ -1,10 +1,14 @@
 import hashlib
+import os
 import random
 import re
 
+import numpy as np
 import pytest
 
+from graphlane.llm import minhash
 from graphlane.llm.exact_dedup import drop_exact_copies, exact_dedup
+from graphlane.llm.linking import HELD, collisions, held
 from graphlane.llm.minhash import _banded, drop_near_duplicates, near_duplicates, similar
 from graphlane.llm.packed import met_in, once_each, press, repeated_values, unpress
 from graphlane.llm.paragraphs import WINDOW, jaccard, repeated_paragraphs, tuned_bands, windows
@@ -86,6 +90,51 @@ def test_near_duplicates_in_a_crowd_of_one_template(spark):
     assert {r.doc_id: r.class_id for r in got} == components_of(pairs, texts)
 
 
+def test_a_crowd_makes_no_more_candidates_than_links(spark, monkeypatch):
+    """Texts of the same words in other orders share sketches by their opening; counts of words cannot tell them apart."""
+    rng = random.Random(9)
+    opening, rest = prose(rng, 60, 10_000).split(), prose(rng, 90, 10_000).split()
+    rows = [(i, " ".join(opening + rng.sample(rest, len(rest)))) for i in range(50)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(5)]
+    pairs = [(a, b) for a, x in rows for b, y in rows if a < b and similar(words(x), words(y))]
+    assert pairs == [(i, 1000 + i) for i in range(5)]
+    made = []
+
+    def counted_collisions(*args):
+        made.append(found := collisions(*args))
+        made[-1] = found.count()
+        return found
+
+    monkeypatch.setattr(minhash, "collisions", counted_collisions)
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs(spark, rows)).collect()}
+    assert got == components_of(pairs, got)
+    assert made[0] <= len(pairs)
+
+
+@pytest.mark.parametrize("longer", [0, HELD])
+def test_collisions_compare_each_pair_once(spark, tmp_path, longer):
+    """Whatever the number of values that a pair shares and of blocks that these are dealt into."""
+    rng = np.random.default_rng(4)
+    n = 30
+    shared = [{int(v) for v in rng.integers(0, 12, 6)} - {k % 5} for k in range(n)]
+    h = [rng.integers(0, 2**63, 40 + longer, dtype=np.uint64) for _ in range(3)]
+    things = spark.createDataFrame([(k, 40 + longer, held(h[k % 3])) for k in range(n)], "key long, size int, held binary")
+    members = spark.createDataFrame([(v, k, 0) for k in range(n) for v in shared[k]], "s long, key long, low long")
+    labels = spark.createDataFrame([(k, k % 7) for k in range(14)], "id long, label long")
+    log = str(tmp_path / "log")
+
+    def close(a, b):
+        with open(log, "ab") as f:
+            f.write(b"x")
+        return True
+
+    got = [tuple(r) for r in collisions(members, things, labels, 0.2, close, 4).collect()]
+    label = {k: k % 7 if k < 14 else k for k in range(n)}
+    want = [(a, b) for a in range(n) for b in range(a + 1, n) if shared[a] & shared[b] and label[a] != label[b] and a % 3 == b % 3]
+    assert sorted(got) == want
+    assert longer or os.path.getsize(log) == len(want)
+
+
 def test_near_duplicates_bear_edge_cases(spark):
     table = docs(spark, edge_rows())
     got = near_duplicates(table).collect()
