@@ -124,6 +124,7 @@ class Templates:
 
     def __init__(self, templates: list[tuple[str, list[str]]], n_docs: int, df: dict[str, int], threshold: float) -> None:
         self.names, self.sizes, self.threshold = [t[0] for t in templates], [len(t[1]) for t in templates], threshold
+        self.tags = [t[1][:3] == words_of(SPDX) for t in templates]
         self.idf = {w: math.log((n_docs + 1) / (df.get(w, 0) + 1)) + 1 for _, words in templates for w in words}
         self.number = {w: k for k, w in enumerate(self.idf)}
         self.vectors = [self.vector(words) for _, words in templates]
@@ -154,8 +155,8 @@ class Templates:
         return best
 
     def judge(self, text: str) -> tuple[float, str, float]:
-        """(similarity, licence) of the best template, and the similarity of the text as a whole to its best one; of
-        equal ones that whose name sorts last."""
+        """(similarity, licence) of the best template, and the similarity of the text as a whole to its best one that is no
+        tag (a tag speaks of the file that it stands in); of equal ones that whose name sorts last."""
         words = words_of(text.lower())
         held = [self.number[w] for w in self.number.keys() & set(words)]
         near = np.flatnonzero(self.squares[held].sum(axis=0) >= self.threshold**2 - 1e-5).tolist() if held else []
@@ -164,15 +165,15 @@ class Templates:
         v = self.vector(words)
         whole = {k: sum(x * v.get(w, 0.0) for w, x in self.vectors[k].items()) for k in near}
         best, name = max(((max(whole[k], self.cosine(k, words)), self.names[k]) for k in near), key=lambda p: (round(p[0], 9), p[1]))
-        return best, name, max(whole.values())
+        return best, name, max((x for k, x in whole.items() if not self.tags[k]), default=0.0)
 
 
 def license_scan(df: DataFrame, path_col: str, id_col: str = "doc_id", text_col: str = "text", notices: dict[str, list[str]] = NOTICES, bodies: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of df: id, path, license, score, how, from_dir.
 
     score is the cosine of the best template (of those that can reach the threshold at all, else 0). how: 'header' (a
-    notice or licence text somewhere in the text), 'file' (the whole text has a cosine of 0.9, or it is named like a
-    licence file), 'inherited' from from_dir, or 'none' (license null). Of equal scores that of the name that sorts last
+    notice or licence text somewhere in the text), 'file' (the whole text has a cosine of 0.9 to one that is no SPDX tag,
+    or it is named like a licence file), 'inherited' from from_dir, or 'none' (license null). Of equal scores that of the name that sorts last
     counts. A directory with several licence files has that with the least path, then name. Null paths belong to no
     directory and inherit nothing; null and empty texts have no notice; texts of any length are searched whole; rows that
     repeat are judged each; an empty table gives an empty result; other columns are ignored."""

@@ -157,6 +157,14 @@ def test_licenses(spark):
     assert license_scan(table.limit(0), "path").count() == 0
 
 
+def test_a_tag_is_no_licence_of_its_directory(spark):
+    tag = "# SPDX-License-Identifier: Apache-2.0"
+    rows = [(0, "a/x.py", f"{tag}\ncode"), (1, "a/y.py", "nothing"), (2, "b/x.py", tag), (3, "b/y.py", "nothing"), (4, "c/LICENSE", tag), (5, "c/y.py", "nothing")]
+    got = {r.doc_id: (r.license, r.how) for r in license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), "path").collect()}
+    assert got[0] == got[2] == ("Apache-2.0", "header") and got[1] == got[3] == (None, "none")
+    assert got[4] == ("Apache-2.0", "file") and got[5] == ("Apache-2.0", "inherited")
+
+
 def test_windows_have_the_cosines_of_brute_force():
     import math
 
