@@ -4,7 +4,8 @@ Things that share a value are candidates. First everything is compared with the
 the one that it shares most with first; this links a group of any size at a cost in proportion to it. Then all other
 candidates that no links connect are met: members of a value with several classes are dealt into blocks, and every pair of
 different classes is compared, in one block, unless sizes, folded counts or an alignment of folded words prove it too far
-apart.
+apart. Members of a value that needs several blocks can be met by their rarest elements instead (see crowds and rarest),
+which any two similar ones have in common.
 """
 
 from __future__ import annotations
@@ -26,8 +27,12 @@ BLOCK = 256  # members of a value that one block holds
 BAG = 1024  # counters that what a thing holds is folded into
 HELD = 2048  # most words of a thing that go with it, folded to 16 bits; of longer ones only the counters do
 CHUNK_ROWS = 4000
+KEY_BITS = 24  # of the table that says which keys may be in a crowd; others than these are read in vain
+SLOT_BITS = 18  # of the table of counts that elements are ordered by; elements that share a slot seem more frequent
+SLOT_PARTS = 16
 Verify = Callable[[DataFrame], DataFrame]
 Close = Callable[[list[int], list[int]], bool]
+Elements = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
 def counted(folded: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -45,14 +50,13 @@ def held(h: np.ndarray) -> bytes:
 class _Rows:
     """Members of a value that one task compares with others."""
 
-    def __init__(self, batch: pa.RecordBatch, s: int) -> None:
+    def __init__(self, batch: pa.RecordBatch) -> None:
         self.key, self.of, self.other, self.size, pos = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "class", "other", "size", "pos"))
         self.left_over = self.size - pos
         self.held = None if batch.column("held").null_count else batch.column("held").to_pylist()
         values = batch.column("values")
         if not values.null_count:
-            row, value = np.repeat(np.arange(len(self.key)), pc.list_value_length(values).to_numpy(zero_copy_only=False)), values.flatten().to_numpy(zero_copy_only=False)
-            self.row, self.value = row[value < s], value[value < s]
+            self.row, self.value = np.repeat(np.arange(len(self.key)), pc.list_value_length(values).to_numpy(zero_copy_only=False)), values.flatten().to_numpy(zero_copy_only=False)
 
     @cached_property
     def counts(self) -> np.ndarray:
@@ -122,6 +126,65 @@ def mixed(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     return each, written(met.select("s", "c", "main"), "collision-values")
 
 
+def crowds(members: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
+    """What mixed says of the values of several classes that more than block of members (s, key, low) have. Written."""
+    large = members.groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") > block).select("s")
+    each, met = mixed(members.join(large, "s", "left_semi"), labels)
+    dropped(each)
+    return met
+
+
+def rarest(things: DataFrame, keys: DataFrame, bound: float, elements: Elements) -> DataFrame:
+    """(s, key, low) as sharing gives them, of the things in keys (key): s is one of the rarest elements of a thing.
+
+    things: key and content; elements takes contents and returns the distinct elements of each, which follow each other,
+    as 64-bit hashes, and how many each has. Two things of n elements at most, of which no more than bound * n are not
+    those of the other, have one of their bound * n + 1 rarest in common, by whatever order all share; theirs goes by
+    counts in a table of fixed size. things are read twice and nothing of them is dealt but these elements."""
+    bit = f"pmod(xxhash64(key), {1 << KEY_BITS})"
+    words = keys.select(F.expr(bit).alias("bit")).groupBy(F.expr("shiftright(bit, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
+    table = np.zeros(1 << KEY_BITS >> 6, np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    own = things.select("key", F.expr(bit).alias("bit"), "content")
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            bits = batch.column(1).to_numpy(zero_copy_only=False)
+            hit = np.flatnonzero(table[bits >> 6] >> (bits & 63) & 1)
+            for at in range(0, len(hit), BLOCK):
+                part = batch.take(pa.array(hit[at : at + BLOCK]))
+                yield part.column(0).to_numpy(zero_copy_only=False), *elements(part.column(2))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SLOT_BITS, np.int64)
+        for _, g, _ in wanted(batches):
+            counts += np.bincount((g >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
+        if counts.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLOT_PARTS), pa.int32()), pa.array([press(x) for x in np.split(counts, SLOT_PARTS)], pa.binary())], ["part", "counts"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums[part] = sums.get(part, 0) + unpress(blob, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([press(x) for x in sums.values()], pa.binary())], ["part", "counts"])
+
+    counts = np.zeros((SLOT_PARTS, (1 << SLOT_BITS) // SLOT_PARTS), np.int32)
+    for row in own.mapInArrow(count, "part int, counts binary").repartition("part").mapInArrow(total, "part int, counts binary").collect():
+        counts[row["part"]] = np.minimum(unpress(row["counts"], np.int64), 2**31 - 1)
+    often = counts.ravel()
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, g, n in wanted(batches):
+            most = np.minimum((bound * n + 1e-9).astype(np.int64) + 1, n)
+            order = np.lexsort((g, often[(g >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], np.repeat(np.arange(len(n)), n)))
+            rare = g[order[np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(most, n)]]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([x.tobytes() for x in np.split(rare, np.cumsum(most)[:-1])], pa.binary())], ["key", "sketch"])
+
+    found = sharing(own.mapInArrow(pick, "key long, sketch binary"))
+    return found.join(keys, "key", "left_semi").select("s", "key", "low")  # the table lets others than keys pass
+
+
 def collisions(members: DataFrame, things: DataFrame, labels: DataFrame, bound: float, close: Close | None = None, block: int = BLOCK) -> DataFrame:
     """Distinct pairs (a, b), a < b, of all things that share a value and that labels do not connect; things: key, size and
     held. Left out are only pairs that cannot be similar.
@@ -133,8 +196,8 @@ def collisions(members: DataFrame, things: DataFrame, labels: DataFrame, bound:
     a Jaccard similarity of 1 - bound.
 
     A value's members are dealt into blocks by the hash of the key. Each is at home in one block, and those outside the
-    value's largest class visit all its blocks, so that a large class costs a row a member. Without pos each brings its
-    values along, and a pair is met at the least value that it shares and nowhere else."""
+    value's largest class visit all its blocks if there are several, so that a large class costs a row a member. Without
+    pos each brings its lesser values along, and a pair is met at the least value that it shares and nowhere else."""
     each, met = mixed(members, labels)
     values = met.select("s", F.ceil(F.col("c") / block).cast("int").alias("blocks"), "main")
     by_place = "pos" in members.columns
@@ -147,10 +210,10 @@ def collisions(members: DataFrame, things: DataFrame, labels: DataFrame, bound:
         known, pos = things.select("key", "size", F.lit(None).cast("binary").alias("held"), F.lit(None).cast("array<bigint>").alias("values")), "pos"
     else:
         known, pos = things.select("key", "size", "held").join(own.groupBy("key").agg(F.collect_list("s").alias("values")), "key"), F.lit(0).alias("pos")  # no more than a thing's sketches
-    whole = written(own.join(known, "key").select("s", "key", "class", "blocks", "main", "size", "held", "values", pos), "collision-held")
+    whole = written(own.join(known, "key").select("s", "key", "class", "blocks", "main", "size", "held", F.filter("values", lambda v: v < F.col("s")).alias("values"), pos), "collision-held")
     other = F.col("class") != F.col("main")
-    homes = whole.select("s", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("visits"), "key", "class", other.alias("other"), "size", "held", "values", "pos")
-    visitors = whole.where(other).select("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visits"), "key", "class", F.lit(True).alias("other"), "size", "held", "values", "pos")
+    homes = whole.select("s", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("visits"), "key", "class", other.alias("other"), "size", "held", "values", "pos", (F.col("blocks") == 1).alias("alone"))
+    visitors = whole.where(other & (F.col("blocks") > 1)).select("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visits"), "key", "class", F.lit(True).alias("other"), "size", "held", "values", "pos", F.lit(False).alias("alone"))
     dealt = homes.unionByName(visitors).repartition("s", "block").sortWithinPartitions("s", "block", "visits")
 
     def met_by(home: _Rows, rows: _Rows) -> tuple[np.ndarray, np.ndarray]:
@@ -171,22 +234,29 @@ def collisions(members: DataFrame, things: DataFrame, labels: DataFrame, bound:
         return home.key[x], rows.key[y]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, home = None, []
+        at, home, guests = None, [], []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            s, number, visits = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            s, number, visits, other, alone = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("s", "block", "visits", "other", "alone"))
             new = (s[1:] != s[:-1]) | (number[1:] != number[:-1]) | (visits[1:] != visits[:-1])
             edges = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
             pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 if at != (s[lo], number[lo]):
-                    at, home = (s[lo], number[lo]), []
-                parts = (_Rows(batch.slice(i, min(block, hi - i)), s[lo]) for i in range(lo, hi, block))
-                if visits[lo]:
-                    pairs += [met_by(x, rows) for rows in parts for x in home]
-                else:
-                    home += parts
+                    at, home, guests = (s[lo], number[lo]), [], []
+                for i in range(lo, hi, block):
+                    part = batch.slice(i, min(block, hi - i))
+                    rows = _Rows(part)
+                    if visits[lo]:
+                        pairs += [met_by(x, rows) for x in home]
+                        continue
+                    if alone[lo]:  # nobody visits: those outside the largest class meet all at home
+                        pairs += [met_by(rows, x) for x in guests]
+                        if other[i : i + part.num_rows].any():
+                            guests.append(_Rows(part.filter(pa.array(other[i : i + part.num_rows]))))
+                            pairs += [met_by(x, guests[-1]) for x in [*home, rows]]
+                    home.append(rows)
             a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from graphlane.llm.common import dropped, pieces_of, text_or_empty, written
 from graphlane.llm.hashing import BASE, grams, mix, word_hashes
-from graphlane.llm.linking import classes, collisions, held, sharing
+from graphlane.llm.linking import HELD, classes, collisions, crowds, held, rarest, sharing
 
 M = 64
 SIMILARITY = 0.8
@@ -168,6 +168,20 @@ def similar(a: list, b: list, similarity: float = SIMILARITY) -> bool:
     return limit > 64 and _banded(x, y, 32) or _banded(x, y, limit)
 
 
+def _labelled_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The occurrence-labelled words of texts, and how many each has; texts of more than HELD words count as empty."""
+    found, lens = [np.zeros(0, np.uint64)], []
+    for _, part in pieces_of(texts):
+        words: dict[str, int] = {}
+        add = words.setdefault
+        numbers = [[add(w, len(words)) for w in own] if len(own) <= HELD else [] for own in (words_of(t.lower()) for t in part)]
+        lens += map(len, numbers)
+        n = np.array([len(x) for x in numbers if x], np.int64)
+        if len(n):
+            found.append(labelled_grams(word_hashes([w.encode() for w in words])[[i for x in numbers for i in x]], n, 1)[0])
+    return np.concatenate(found), np.array(lens, np.int64)
+
+
 def _sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Written: gl_rec, gl_id, gl_key (unique), gl_digest (null without words), gl_sketch, gl_size (words), gl_held."""
     rows = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("gl_rec"), F.col(id_col).alias("gl_id"))
@@ -213,8 +227,24 @@ def _classes(df: DataFrame, id_col: str, text_col: str, similarity: float) -> tu
         dropped(texts)
         return links
 
+    def collide(members: DataFrame, known: DataFrame) -> DataFrame:
+        """Members of crowds meet by their rarest words. Texts of more than HELD words, which have too many of these, meet
+        each other and what is nearly as long in blocks."""
+        bound, crowd = 1 - similarity, crowds(members, known)
+        scattered, sized, keys = members, None, None
+        if crowd.head(1):
+            sized = members.join(crowd.select("s", F.lit(True).alias("crowded")), "s", "left").join(own.select("key", "size"), "key")
+            sized = written(sized.select("s", "key", "low", "size", F.col("crowded").isNotNull().alias("crowded")), "omh-crowds")
+            keys = written(sized.where(F.col("crowded") & (F.col("size") <= HELD)).select("key").distinct(), "omh-crowded")
+            contents = rows.select(F.col("gl_key").alias("key"), text_or_empty(f"gl_rec.{text_col}").alias("content"))
+            rest = sized.where(~F.col("crowded") | (F.col("size") > int(similarity * HELD))).select("s", "key", "low")
+            scattered = rest.unionByName(rarest(contents, keys, bound, _labelled_words))
+        pairs = collisions(scattered, own, known, bound, lambda a, b: similar(a, b, similarity))
+        dropped(crowd, sized, keys)
+        return pairs
+
     members = sharing(things)
-    label = classes(members, verify, lambda m, known: collisions(m, own, known, 1 - similarity, lambda a, b: similar(a, b, similarity)))
+    label = classes(members, verify, collide)
     joined = written(reps.join(label, reps["key"] == label["id"], "left").select("gl_digest", "best", "n", F.coalesce("label", "key").alias("label")), "omh-classes")
     whole = joined.groupBy("label").agg(F.min("best").alias("class_best"), F.sum("n").alias("class_size"))
     whole = written(joined.join(whole, "label").select("gl_digest", "class_best", "class_size"), "omh-members")

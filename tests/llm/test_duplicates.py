@@ -5,10 +5,11 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphlane.llm import minhash
 from graphlane.llm.exact_dedup import drop_exact_copies, exact_dedup
-from graphlane.llm.linking import HELD, collisions, held
+from graphlane.llm.linking import BLOCK, HELD, collisions, held, rarest
 from graphlane.llm.minhash import _banded, drop_near_duplicates, near_duplicates, similar
 from graphlane.llm.packed import met_in, once_each, press, repeated_values, unpress
 from graphlane.llm.paragraphs import WINDOW, jaccard, repeated_paragraphs, tuned_bands, windows
@@ -111,6 +112,52 @@ def test_a_crowd_makes_no_more_candidates_than_links(spark, monkeypatch):
     assert made[0] <= len(pairs)
 
 
+def test_a_crowd_is_met_by_its_rarest_words(spark, monkeypatch):
+    """No value that many texts of several classes have is dealt into blocks, which each of them would visit."""
+    rng = random.Random(13)
+    form, n = prose(rng, 79, 10_000), 280
+    rows = []
+    for i in range(n):
+        shared = " ".join(f"own{i}x{j}" for j in range(10))
+        rows += [(copy * 1000 + i, " ".join([form, shared, *(f"c{copy}d{i}x{j}" for j in range(11))])) for copy in range(2)]
+    pairs, texts = [(i, 1000 + i) for i in range(n)], {i: words(t) for i, t in rows}
+    assert all(similar(texts[a], texts[b]) for a, b in pairs) and not similar(texts[0], texts[1]) and not similar(texts[0], texts[1001])
+    most = []
+
+    def watched(members, things, labels, *args):
+        each = members.join(labels.select(F.col("id").alias("key"), "label"), "key", "left")
+        met = each.groupBy("s").agg(F.count("*").alias("c"), F.countDistinct(F.coalesce("label", "key")).alias("classes"))
+        most.append(met.where("classes > 1").agg(F.max("c")).first()[0])
+        return collisions(members, things, labels, *args)
+
+    monkeypatch.setattr(minhash, "collisions", watched)
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs(spark, rows)).collect()}
+    assert got == components_of(pairs, got)
+    assert most[0] <= BLOCK
+
+
+def test_similar_texts_share_one_of_their_rarest_words(spark):
+    rng = random.Random(14)
+    texts = {}
+    for i in range(0, 240, 4):
+        base = prose(rng, rng.randrange(1, 80), rng.choice([3, 30, 300])).split()
+        for k in range(4):
+            own = list(base)
+            for _ in range(rng.randrange(0, len(own) // 4 + 2)):
+                at = rng.randrange(len(own))
+                own[at : at + 1] = rng.choice([[], [f"new{rng.randrange(9)}"], [own[at], own[rng.randrange(len(own))]]])
+                own = own or base
+            texts[i + k] = " ".join(own)
+    keys = spark.createDataFrame([(k,) for k in texts if k % 9], "key long")
+    found = rarest(spark.createDataFrame([*texts.items(), (999, None), (1000, "w1 " * (HELD + 1))], "key long, content string"), keys, 1 - minhash.SIMILARITY, minhash._labelled_words)
+    has = {}
+    for r in found.collect():
+        has.setdefault(r.key, set()).add(r.s)
+    assert has.keys() <= {k for k in texts if k % 9} and all(len(has[k]) <= 0.2 * len(words(texts[k])) + 1 + 1e-9 for k in has)
+    pairs = [(a, b) for a in texts for b in texts if a < b and a % 9 and b % 9 and similar(words(texts[a]), words(texts[b]))]
+    assert len(pairs) > 50 and all(has.get(a, set()) & has.get(b, set()) for a, b in pairs)
+
+
 @pytest.mark.parametrize("longer", [0, HELD])
 def test_collisions_compare_each_pair_once(spark, tmp_path, longer):
     """Whatever the number of values that a pair shares and of blocks that these are dealt into."""
