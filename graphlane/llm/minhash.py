@@ -231,16 +231,17 @@ def _classes(df: DataFrame, id_col: str, text_col: str, similarity: float) -> tu
         """Members of crowds meet by their rarest words. Texts of more than HELD words, which have too many of these, meet
         each other and what is nearly as long in blocks."""
         bound, crowd = 1 - similarity, crowds(members, known)
-        scattered, sized, keys = members, None, None
+        scattered, sized = members, None
         if crowd.head(1):
-            sized = members.join(crowd.select("s", F.lit(True).alias("crowded")), "s", "left").join(own.select("key", "size"), "key")
-            sized = written(sized.select("s", "key", "low", "size", F.col("crowded").isNotNull().alias("crowded")), "omh-crowds")
-            keys = written(sized.where(F.col("crowded") & (F.col("size") <= HELD)).select("key").distinct(), "omh-crowded")
+            crowded = members.join(crowd, "s", "left_semi")
+            sized = written(crowded.select("key").distinct().join(own.select("key", "size"), "key"), "omh-crowded")  # of no others
+            keys = sized.where(F.col("size") <= HELD).select("key")
+            long = crowded.join(sized.where(F.col("size") > int(similarity * HELD)), "key", "left_semi")
+            rest = members.join(crowd, "s", "left_anti").unionByName(long.select(*members.columns))
             contents = rows.select(F.col("gl_key").alias("key"), text_or_empty(f"gl_rec.{text_col}").alias("content"))
-            rest = sized.where(~F.col("crowded") | (F.col("size") > int(similarity * HELD))).select("s", "key", "low")
             scattered = rest.unionByName(rarest(contents, keys, bound, _labelled_words))
         pairs = collisions(scattered, own, known, bound, lambda a, b: similar(a, b, similarity))
-        dropped(crowd, sized, keys)
+        dropped(crowd, sized)
         return pairs
 
     members = sharing(things)

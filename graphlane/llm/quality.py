@@ -2,7 +2,7 @@
 
 A document is the mean of the learned vectors of its features: words, character n-grams of words, pairs of successive
 words, all hashed into a table of fixed size, and a mark for a word that repeats the one before. A softmax layer reads
-that mean. Both are trained by stochastic gradient descent in numpy on a bounded sample of labelled rows. As the output
+that mean. One task trains both by stochastic gradient descent in numpy on a bounded sample of labelled rows. As the output
 is linear in the mean, scoring needs one number for each feature: the executors get a table of fixed size.
 """
 
@@ -109,12 +109,24 @@ def score_texts(texts: list[str], weight: np.ndarray, bias: float) -> list[float
     return scores
 
 
-def sample(df: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, rows: int) -> list[tuple[str, int]]:
-    """At most rows labelled texts, those whose ids have the least hashes; rows bounds what reaches the driver."""
+def sample(df: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, rows: int) -> DataFrame:
+    """t and y (0 or 1) of at most rows labelled texts, in one partition and in the order of their ids: those whose ids
+    have the least hashes; rows bounds what its task reads."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).alias("y"))
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(rows)
     texts = df.select(F.col(id_col), text_or_empty(text_col).alias("t")).join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.min("t").alias("t"), F.max("y").alias("y"))
-    return [(r["t"], int(r["y"])) for r in texts.orderBy(id_col).toLocalIterator()]
+    return texts.repartition(1).sortWithinPartitions(id_col).select("t", F.col("y").cast("int").alias("y"))
+
+
+def trained(rows: DataFrame) -> tuple[np.ndarray, float]:
+    """What train makes of rows (t, y), which are in one partition: the driver holds neither texts nor features."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, bias = train([(t, y) for batch in batches for t, y in zip(*(c.to_pylist() for c in batch.columns), strict=True)])
+        yield pa.RecordBatch.from_arrays([pa.array([weight.tobytes()], pa.binary()), pa.array([bias], pa.float64())], ["weight", "bias"])
+
+    found = rows.mapInArrow(learn, "weight binary, bias double").collect()
+    return (np.frombuffer(found[0]["weight"], np.float32), found[0]["bias"]) if found else train([])
 
 
 def quality_scores(df: DataFrame, labels: DataFrame, learn_from, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -125,7 +137,7 @@ def quality_scores(df: DataFrame, labels: DataFrame, learn_from, label: str = "q
     from at most sample_rows of them, chosen by a hash of the id, so training and what is sent to executors don't grow
     with the input. Null and empty texts get the score of no words; without labels every score is 0.5. A column score
     of df is replaced."""
-    weight, bias = train(sample(df, labels.where(learn_from), label, id_col, text_col, sample_rows))
+    weight, bias = trained(sample(df, labels.where(learn_from), label, id_col, text_col, sample_rows))
     model = df.sparkSession.sparkContext.broadcast((weight, bias))
     kept = [c for c in df.columns if c.lower() != "score"]
     rows = df.select(*[F.col(f"`{c}`") for c in kept])

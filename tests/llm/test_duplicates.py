@@ -14,6 +14,7 @@ from graphlane.llm.minhash import _banded, drop_near_duplicates, near_duplicates
 from graphlane.llm.packed import met_in, once_each, press, repeated_values, unpress
 from graphlane.llm.paragraphs import WINDOW, jaccard, repeated_paragraphs, tuned_bands, windows
 from graphlane.llm.suffix_dedup import substring_dedup
+from graphlane.plans import tables
 from tests.llm.util import SCHEMA, components_of, docs, edge_rows, prose, words
 
 
@@ -136,6 +137,27 @@ def test_a_crowd_is_met_by_its_rarest_words(spark, monkeypatch):
     assert most[0] <= BLOCK
 
 
+def test_a_crowd_costs_nothing_to_the_texts_outside(spark, monkeypatch):
+    """What is prepared for crowds has a row for each text in one, not for each sketch that any two texts share."""
+    rng = random.Random(15)
+    form, crowd = prose(rng, 80, 10_000), BLOCK + 20
+    rows = [(i, f"{form} {prose(rng, 30, 10_000)}") for i in range(crowd)]
+    for i in range(40):
+        rows += [(1000 + 2 * i, base := prose(rng, 60, 10_000)), (1001 + 2 * i, f"{base} end")]
+    sizes = {}
+
+    def counted_table(df, name, **options):
+        table = tables.written(df, name, **options)
+        if name.startswith("omh-crowd"):
+            sizes[name] = table.count()
+        return table
+
+    monkeypatch.setattr(minhash, "written", counted_table)
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs(spark, rows)).collect()}
+    assert got == {i: i - i % 2 if i >= 1000 else i for i in got}
+    assert sizes and max(sizes.values()) <= crowd
+
+
 def test_similar_texts_share_one_of_their_rarest_words(spark):
     rng = random.Random(14)
     texts = {}

@@ -2,8 +2,10 @@ import random
 import zlib
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
+from graphlane.llm import quality
 from graphlane.llm.bpe import encode_and_decode
 from graphlane.llm.common import bucket_of
 from graphlane.llm.decontam import contamination, drop_contaminated, tiles
@@ -25,6 +27,16 @@ def test_quality_on_held_out_rows(spark):
     assert len(both) > 50 and sum((r.score >= 0.5) == (r.quality == 1) for r in both) / len(both) > 0.95
 
 
+def test_quality_is_trained_in_a_task_and_not_on_the_driver(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 30, 50 if i % 2 else 400)) for i in range(60)]
+    want = quality.train([(t, i % 2) for i, t in sorted(rows)[:40]])
+    table, labels = docs(spark, rows[::-1]), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "features", None)  # of the driver's module
+    got = {r.doc_id: r.score for r in quality_scores(table, labels, F.lit(True)).collect()}
+    assert [got[i] for i, _ in rows] == pytest.approx(quality.score_texts([t for _, t in rows], *want))
+
+
 def test_quality_bears_edge_cases(spark):
     table = docs(spark, edge_rows())
     labels = spark.createDataFrame([(1, 1), (9, 0), (None, 1), (3, 7), (77, 0)], "doc_id long, quality int")
