@@ -29,7 +29,9 @@ HELD = 2048  # most words of a thing that go with it, folded to 16 bits; of long
 CHUNK_ROWS = 4000
 KEY_BITS = 24  # of the table that says which keys may be in a crowd; others than these are read in vain
 SLOT_BITS = 18  # of the table of counts that elements are ordered by; elements that share a slot seem more frequent
-SLOT_PARTS = 16
+RUN_BITS = 20  # of the table of counts of runs of two
+PART_BITS = 14  # of a part of these tables
+FEW = 16  # a run in a slot with no more than that many above twice the mean is rare
 Verify = Callable[[DataFrame], DataFrame]
 Close = Callable[[list[int], list[int]], bool]
 Elements = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
@@ -134,33 +136,41 @@ def crowds(members: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFra
     return met
 
 
-def rarest(things: DataFrame, keys: DataFrame, bound: float, elements: Elements) -> DataFrame:
+def rarest(things: DataFrame, keys: DataFrame, bound: float, elements: Elements, runs: Elements | None = None) -> DataFrame:
     """(s, key, low) as sharing gives them, of the things in keys (key): s is one of the rarest elements of a thing.
 
     things: key and content; elements takes contents and returns the distinct elements of each, which follow each other,
     as 64-bit hashes, and how many each has. Two things of n elements at most, of which no more than bound * n are not
     those of the other, have one of their bound * n + 1 rarest in common, by whatever order all share; theirs goes by
-    counts in a table of fixed size. things are read twice and nothing of them is dealt but these elements."""
+    counts in a table of fixed size. things are read twice and nothing of them is dealt but these elements.
+
+    runs returns the distinct runs of two elements in the same way, if no more than 2 * bound * n of them are not the
+    other's (an edit spoils two; bound is 0.5 at most). A thing whose 2 * bound * n + 1 rarest runs are all rare meets by
+    these alone. The others meet by their elements, and by those of their rarest runs that are rare, since things of the
+    first kind hold no others among theirs."""
+    kinds = [(elements, SLOT_BITS, bound), *([(runs, RUN_BITS, 2 * bound)] if runs else [])]
     bit = f"pmod(xxhash64(key), {1 << KEY_BITS})"
     words = keys.select(F.expr(bit).alias("bit")).groupBy(F.expr("shiftright(bit, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
     table = np.zeros(1 << KEY_BITS >> 6, np.int64)
     table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     own = things.select("key", F.expr(bit).alias("bit"), "content")
 
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
         for batch in batches:
             bits = batch.column(1).to_numpy(zero_copy_only=False)
             hit = np.flatnonzero(table[bits >> 6] >> (bits & 63) & 1)
             for at in range(0, len(hit), BLOCK):
                 part = batch.take(pa.array(hit[at : at + BLOCK]))
-                yield part.column(0).to_numpy(zero_copy_only=False), *elements(part.column(2))
+                yield part.column(0).to_numpy(zero_copy_only=False), [made(part.column(2)) for made, _, _ in kinds]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SLOT_BITS, np.int64)
-        for _, g, _ in wanted(batches):
-            counts += np.bincount((g >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
-        if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLOT_PARTS), pa.int32()), pa.array([press(x) for x in np.split(counts, SLOT_PARTS)], pa.binary())], ["part", "counts"])
+        counts = [np.zeros(1 << slots, np.int64) for _, slots, _ in kinds]
+        for _, found in wanted(batches):
+            for own, (g, _), (_, slots, _) in zip(counts, found, kinds, strict=True):
+                own += np.bincount(_slot(g, slots), minlength=1 << slots)
+        parts = np.concatenate(counts).reshape(-1, 1 << PART_BITS)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([press(parts[i]) for i in some], pa.binary())], ["part", "counts"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -169,22 +179,40 @@ def rarest(things: DataFrame, keys: DataFrame, bound: float, elements: Elements)
                 sums[part] = sums.get(part, 0) + unpress(blob, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([press(x) for x in sums.values()], pa.binary())], ["part", "counts"])
 
-    counts = np.zeros((SLOT_PARTS, (1 << SLOT_BITS) // SLOT_PARTS), np.int32)
+    counts = np.zeros((sum(1 << slots for _, slots, _ in kinds) >> PART_BITS, 1 << PART_BITS), np.int32)
     for row in own.mapInArrow(count, "part int, counts binary").repartition("part").mapInArrow(total, "part int, counts binary").collect():
         counts[row["part"]] = np.minimum(unpress(row["counts"], np.int64), 2**31 - 1)
-    often = counts.ravel()
+    often = np.split(counts.ravel(), [1 << SLOT_BITS])[: len(kinds)]
+    few = FEW + 2 * often[-1].mean(dtype=np.float64)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, g, n in wanted(batches):
-            most = np.minimum((bound * n + 1e-9).astype(np.int64) + 1, n)
-            order = np.lexsort((g, often[(g >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], np.repeat(np.arange(len(n)), n)))
-            rare = g[order[np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(most, n)]]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([x.tobytes() for x in np.split(rare, np.cumsum(most)[:-1])], pa.binary())], ["key", "sketch"])
+        for key, found in wanted(batches):
+            rows, picked, alone = [], [], np.zeros(len(key), bool)
+            for (g, n), seen, (_, slots, share), by_runs in reversed(list(zip(found, often, kinds, (False, True)))):
+                least = (share * n + 1e-9).astype(np.int64) + 1 if not by_runs else (share * (n + (n > 0)) + 1e-9).astype(np.int64) + 1  # n + 1 elements have n runs
+                of, c = np.repeat(np.arange(len(n)), n), seen[_slot(g, slots)]
+                order = np.lexsort((g, c, of))
+                order = order[np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(least, n)]
+                if by_runs:
+                    rare = c[order] <= few
+                    alone = (n >= least) & (np.bincount(of[order], ~rare, len(n)) == 0)
+                    order = order[rare]
+                else:
+                    order = order[~alone[of[order]]]
+                rows.append(of[order])
+                picked.append(g[order])
+            of, g = np.concatenate(rows), np.concatenate(picked)
+            g = g[np.argsort(of, kind="stable")]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([x.tobytes() for x in np.split(g, np.cumsum(np.bincount(of, minlength=len(key)))[:-1])], pa.binary())], ["key", "sketch"])
 
     found = sharing(own.mapInArrow(pick, "key long, sketch binary"))
     return found.join(keys, "key", "left_semi").select("s", "key", "low")  # the table lets others than keys pass
 
 
+def _slot(g: np.ndarray, bits: int) -> np.ndarray:
+    return (g >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def collisions(members: DataFrame, things: DataFrame, labels: DataFrame, bound: float, close: Close | None = None, block: int = BLOCK) -> DataFrame:
     """Distinct pairs (a, b), a < b, of all things that share a value and that labels do not connect; things: key, size and
     held. Left out are only pairs that cannot be similar.

@@ -168,20 +168,25 @@ def similar(a: list, b: list, similarity: float = SIMILARITY) -> bool:
     return limit > 64 and _banded(x, y, 32) or _banded(x, y, limit)
 
 
-def _labelled_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The occurrence-labelled words of texts, and how many each has; texts of more than HELD words count as empty."""
+def _labelled_words(texts: pa.Array, k: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The occurrence-labelled runs of k words of texts, and how many each has; texts of more than HELD words count as empty."""
     found, lens = [np.zeros(0, np.uint64)], []
     for _, part in pieces_of(texts):
         words: dict[str, int] = {}
         add = words.setdefault
-        numbers = [[add(w, len(words)) for w in own] if len(own) <= HELD else [] for own in (words_of(t.lower()) for t in part)]
-        lens += map(len, numbers)
+        numbers = [[add(w, len(words)) for w in own] if k <= len(own) <= HELD else [] for own in (words_of(t.lower()) for t in part)]
+        lens += [max(len(x) - k + 1, 0) for x in numbers]
         n = np.array([len(x) for x in numbers if x], np.int64)
         if len(n):
-            found.append(labelled_grams(word_hashes([w.encode() for w in words])[[i for x in numbers for i in x]], n, 1)[0])
+            found.append(labelled_grams(word_hashes([w.encode() for w in words])[[i for x in numbers for i in x]], n, k)[0])
     return np.concatenate(found), np.array(lens, np.int64)
 
 
+def _labelled_runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Those of two words. An edit changes two of them at most, an inserted word one of the shorter text."""
+    return _labelled_words(texts, 2)
+
+
 def _sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Written: gl_rec, gl_id, gl_key (unique), gl_digest (null without words), gl_sketch, gl_size (words), gl_held."""
     rows = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("gl_rec"), F.col(id_col).alias("gl_id"))
@@ -228,7 +233,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, similarity: float) -> tu
         return links
 
     def collide(members: DataFrame, known: DataFrame) -> DataFrame:
-        """Members of crowds meet by their rarest words. Texts of more than HELD words, which have too many of these, meet
+        """Members of crowds meet by their rarest runs of two words, or words. Texts of more than HELD words, which have too many of these, meet
         each other and what is nearly as long in blocks."""
         bound, crowd = 1 - similarity, crowds(members, known)
         scattered, sized = members, None
@@ -239,7 +244,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, similarity: float) -> tu
             long = crowded.join(sized.where(F.col("size") > int(similarity * HELD)), "key", "left_semi")
             rest = members.join(crowd, "s", "left_anti").unionByName(long.select(*members.columns))
             contents = rows.select(F.col("gl_key").alias("key"), text_or_empty(f"gl_rec.{text_col}").alias("content"))
-            scattered = rest.unionByName(rarest(contents, keys, bound, _labelled_words))
+            scattered = rest.unionByName(rarest(contents, keys, bound, _labelled_words, _labelled_runs if bound <= 0.5 else None))
         pairs = collisions(scattered, own, known, bound, lambda a, b: similar(a, b, similarity))
         dropped(crowd, sized)
         return pairs

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphlane.llm import minhash
+from graphlane.llm import linking, minhash
 from graphlane.llm.exact_dedup import drop_exact_copies, exact_dedup
 from graphlane.llm.linking import BLOCK, HELD, collisions, held, rarest
 from graphlane.llm.minhash import _banded, drop_near_duplicates, near_duplicates, similar
@@ -180,6 +180,37 @@ def test_similar_texts_share_one_of_their_rarest_words(spark):
     assert len(pairs) > 50 and all(has.get(a, set()) & has.get(b, set()) for a, b in pairs)
 
 
+def test_similar_texts_of_a_crowd_meet_by_rare_runs_or_words(spark, monkeypatch):
+    """The pairs of brute force all meet, whichever of the two each text goes by."""
+    rng = random.Random(16)
+    opening, texts = prose(rng, 50, 10_000), {}
+    for i in range(0, 400, 4):
+        base = f"{opening} {prose(rng, n, 60)}".split()[50 - n // 3 if i % 8 else 0 :] if (n := rng.randrange(4, 120)) else []
+        for k in range(4):
+            own = list(base)
+            for _ in range(rng.randrange(0, len(own) // 4 + 1)):
+                at = rng.randrange(len(own))
+                own[at : at + 1] = rng.choice([[], [f"new{rng.randrange(900)}"], [own[at], own[rng.randrange(len(own))]]])
+            texts[i + k] = " ".join(own)
+    monkeypatch.setattr(linking, "FEW", 6)
+    table, keys = spark.createDataFrame([*texts.items()], "key long, content string"), spark.createDataFrame([(k,) for k in texts], "key long")
+    bound = 1 - minhash.SIMILARITY
+    has = {}
+    for r in rarest(table, keys, bound, minhash._labelled_words, minhash._labelled_runs).collect():
+        has.setdefault(r.key, set()).add(r.s)
+    pairs = [(a, b) for a in texts for b in texts if a < b and similar(words(texts[a]), words(texts[b]))]
+    assert len(pairs) > 100 and all(has.get(a, set()) & has.get(b, set()) for a, b in pairs)
+
+
+def test_strange_texts_of_a_crowd_seldom_meet(spark):
+    """Texts that share an opening and a small vocabulary have rare words in common, but few rare runs of two."""
+    rng = random.Random(17)
+    opening = prose(rng, 40, 10_000)
+    table = spark.createDataFrame([(i, f"{opening} {prose(rng, 100, 300)}") for i in range(150)], "key long, content string")
+    by_words, by_runs = (rarest(table, table.select("key"), 1 - minhash.SIMILARITY, minhash._labelled_words, *more).count() for more in ((), (minhash._labelled_runs,)))
+    assert by_runs < by_words / 2
+
+
 @pytest.mark.parametrize("longer", [0, HELD])
 def test_collisions_compare_each_pair_once(spark, tmp_path, longer):
     """Whatever the number of values that a pair shares and of blocks that these are dealt into."""
