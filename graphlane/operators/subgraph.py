@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlane.functions.lots import chance, drawn, lot
 from graphlane.operators.clustering import oriented
-from graphlane.plans.local import in_one_task
+from graphlane.plans.lists import Lists, batched, with_lists
 from graphlane.plans.matching import same_structure
 from graphlane.plans.tables import Parts, dropped, written
 from graphlane.registry import algorithm
@@ -141,27 +142,23 @@ def random_walk(graph: Graph, num_steps: int | None = None, num_nodes: int | Non
         raise ValueError("a limit is needed")
     directed, lots = graph.is_directed, random.getrandbits(32) if seed is None else seed
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[tuple[int, tuple[int, int]]]] = {}
-        nodes = sorted(pdf.loc[pdf.dst.isna(), "src"].astype("int64").tolist())
-        for a, b in pdf.loc[pdf.dst.notna(), ["src", "dst"]].astype("int64").sort_values(["src", "dst"]).itertuples(index=False):
-            near.setdefault(a, []).append((b, (a, b)))
-            if not directed and a != b:
-                near.setdefault(b, []).append((a, (a, b)))
-        at = start_node if start_node is not None else nodes[int(drawn(lots, 0, 1) * len(nodes))]
+    def walk(lists: Lists) -> Iterator[dict]:
+        nodes = np.unique(lists.keys)
+        at = start_node if start_node is not None else int(nodes[int(drawn(lots, 0, 1) * len(nodes))])
         met, used, steps = {at}, set(), 0
-        most_nodes, most_edges = len(nodes), len(pdf) - len(nodes)
-        isolated = start_node is not None and not near.get(start_node)
+        most_nodes = len(nodes)
+        isolated = start_node is not None and not lists.size(start_node)
         idle = 0
         while not isolated:
             before = len(met), len(used)
             steps += 1
             way = drawn(lots, steps, 1)
-            if drawn(lots, steps, 0) < jump_probability or not near.get(at):
-                at = start_node if start_node is not None else nodes[int(way * len(nodes))]
+            if drawn(lots, steps, 0) < jump_probability or not (n := lists.size(at)):
+                at = start_node if start_node is not None else int(nodes[int(way * len(nodes))])
                 met.add(at)
             else:
-                at, edge = near[at][int(way * len(near[at]))]
+                edge = lists.nth(at, int(way * n))
+                at = edge[1] if edge[0] == at else edge[0]
                 met.add(at)
                 used.add(edge)
             idle = 0 if (len(met), len(used)) != before else idle + 1
@@ -169,13 +166,19 @@ def random_walk(graph: Graph, num_steps: int | None = None, num_nodes: int | Non
                 break
             if num_steps is None and idle > 10_000 + 100 * (most_nodes + most_edges):  # the rest can't be reached
                 break
-        rows = [(n, None) for n in sorted(met)] + sorted(used)
-        return pd.DataFrame({"src": pd.array([a for a, _ in rows], dtype="Int64"), "dst": pd.array([b for _, b in rows], dtype="Int64")})
+        met, used = np.array(sorted(met), "int64"), np.array(sorted(used), "int64").reshape(-1, 2)
+        yield from batched(edge=np.zeros(len(met)), src=met, dst=met)
+        yield from batched(edge=np.ones(len(used)), src=used[:, 0], dst=used[:, 1])
 
     if start_node is not None and not graph.nodes.where(F.col("id") == start_node).limit(1).count():
         raise ValueError(f"no node {start_node}")
-    rows = graph.nodes.select(F.col("id").alias("src"), F.lit(None).cast("long").alias("dst")).union(graph.edges.select("src", "dst"))
-    met = written(in_one_task(rows, walk, "src long, dst long"), "walk")
-    nodes = met.where("dst is null").select(F.col("src").alias("id"))
-    edges = graph.edges.join(met.where("dst is not null"), ["src", "dst"], "left_semi").select(*graph.edges.columns)
+    if not graph.nodes.limit(1).count():
+        return graph
+    most_edges = graph.edges.count()
+    ends = graph.edges.select(F.col("src").alias("key"), "src", "dst")
+    if not directed:  # an edge is in the list of both ends, as it is stored
+        ends = ends.unionByName(graph.edges.where("src != dst").select(F.col("dst").alias("key"), "src", "dst"))
+    met = written(with_lists(ends, graph.nodes.select("id"), walk, "edge long, src long, dst long"), "walk")
+    nodes = met.where("edge = 0").select(F.col("src").alias("id"))
+    edges = graph.edges.join(met.where("edge = 1"), ["src", "dst"], "left_semi").select(*graph.edges.columns)
     return Graph(graph.nodes.join(nodes, "id", "left_semi"), edges, directed)
