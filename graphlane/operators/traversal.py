@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlane.functions import check_arity
 from graphlane.plans.components import components
-from graphlane.plans.local import in_one_task
+from graphlane.plans.lists import BLOCK, Lists, batched, with_lists
 from graphlane.plans.ordering import positions
 from graphlane.plans.tables import Parts, dropped, written
 from graphlane.registry import algorithm
@@ -127,37 +127,47 @@ def bfs_tree(graph: Graph, source_node: NodeID, depth_limit: int = -1) -> tuple[
     return NodeMap(seen, value="depth"), NodeMap(seen, value="parent")
 
 
-def _neighbours(pdf: pd.DataFrame) -> dict[int, list[int]]:
-    out: dict[int, list[int]] = {}
-    for a, b in pdf[["src", "dst"]].sort_values(["src", "dst"]).itertuples(index=False):
-        out.setdefault(int(a), []).append(int(b))
-    return out
-
-
 def _reachable(graph: Graph, node: int, *columns: str) -> DataFrame:
-    """The edges that a walk from node can use; that many go to one task."""
+    """(key, dst, columns): the edges that a walk from node can use."""
     seen = levels(graph, node).select(F.col("id").alias("src"))
-    return graph.both_ways(*columns).join(seen, "src", "left_semi")
+    return graph.both_ways(*columns).join(seen, "src", "left_semi").withColumnRenamed("src", "key")
+
+
+def _just(graph: Graph, node: int) -> DataFrame:
+    return graph.nodes.where(F.col("id") == node).select("id")
 
 
 def _depth_first(graph: Graph, node: int) -> DataFrame:
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        near, order, parent = _neighbours(pdf), [node], {node: node}
-        stack = [(node, iter(near.get(node, ())))]
-        while stack:
-            at, rest = stack[-1]
-            for x in rest:
-                if x not in parent:
-                    parent[x] = at
-                    order.append(x)
-                    stack.append((x, iter(near.get(x, ()))))
-                    break
-            else:
-                stack.pop()
-        return pd.DataFrame({"pos": range(len(order)), "id": order, "parent": [parent[x] for x in order]})
-
-    marker = graph.nodes.where(F.col("id") == node).select(F.col("id").alias("src"), F.col("id").alias("dst"))
-    return in_one_task(_reachable(graph, node).union(marker), search, "pos long, id long, parent long")
+    def search(lists: Lists) -> Iterator[dict]:
+        order, parents, met = array("q", [node]), array("q", [node]), {node}
+        first, end = lists.rows(node)
+        # of each node on the way down: itself, the row that it has come to, the end of its rows, the place in that row
+        at, row, last, skip = array("q", [node]), array("q", [first]), array("q", [end]), array("q", [0])
+        while at:
+            down = None
+            while down is None and row[-1] < last[-1]:
+                near = lists.read(row[-1], skip[-1], BLOCK)["dst"].tolist()
+                if not near:
+                    row[-1], skip[-1] = row[-1] + 1, 0
+                    continue
+                for i, x in enumerate(near, 1):
+                    if x not in met:
+                        down = x
+                        break
+                skip[-1] += i
+            if down is None:
+                for column in (at, row, last, skip):
+                    column.pop()
+                continue
+            met.add(down)
+            order.append(down)
+            parents.append(at[-1])
+            first, end = lists.rows(down)
+            for column, value in ((at, down), (row, first), (last, end), (skip, 0)):
+                column.append(value)
+        yield from batched(pos=range(len(order)), id=order, parent=parents)
+
+    return with_lists(_reachable(graph, node), _just(graph, node), search, "pos long, id long, parent long")
 
 
 @algorithm("traversal.dfs_iter")
@@ -197,11 +207,9 @@ def astar_search(graph: Graph, source_node: NodeID, target_node: NodeID, heurist
     _start(graph, source_node)
     _start(graph, target_node)
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[tuple[int, float]]] = {}
-        for a, b, w in pdf.sort_values(["src", "dst"]).itertuples(index=False):
-            near.setdefault(int(a), []).append((int(b), w))
+    def search(lists: Lists) -> Iterator[dict]:
         heap, number, seen, closed = [(0, 0, source_node, 0, None)], 0, {}, {}
+        guess, most = {}, BLOCK
         while heap:
             _, _, at, cost, parent = heapq.heappop(heap)
             if at == target_node:
@@ -209,19 +217,24 @@ def astar_search(graph: Graph, source_node: NodeID, target_node: NodeID, heurist
                 while parent is not None:
                     path.append(parent)
                     parent = closed[parent]
-                return pd.DataFrame({"pos": range(len(path)), "id": path[::-1]})
+                yield from batched(pos=range(len(path)), id=path[::-1])
+                return
             if at in closed:
                 continue
             closed[at] = parent
-            for x, w in near.get(at, ()):
-                if x not in closed and cost + w < seen.get(x, float("inf")):
-                    seen[x] = cost + w
-                    number += 1
-                    heapq.heappush(heap, (cost + w + heuristic_func(x), number, x, cost + w, at))
-        return pd.DataFrame({"pos": [], "id": []})
-
-    marker = graph.nodes.where(F.col("id") == source_node).select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).cast(dict(graph.edges.dtypes)["weight"]).alias("weight"))
-    found = written(in_one_task(_reachable(graph, source_node, "weight").union(marker), search, "pos long, id long"), "path")
+            for near in lists.near(at):
+                for x, w in near.tolist():
+                    if x not in closed and cost + w < seen.get(x, float("inf")):
+                        seen[x] = cost + w
+                        number += 1
+                        guess[x] = cost + w + heuristic_func(x)
+                        heapq.heappush(heap, (guess[x], number, x, cost + w, at))
+            if len(heap) > most:  # entries that come up after their node is closed by a cheaper one
+                heap = [e for e in heap if e[2] not in closed and (e[3] == seen[e[2]] or not e[0] > guess[e[2]])]
+                heapq.heapify(heap)
+                most = 2 * len(heap) + BLOCK
+
+    found = written(with_lists(_reachable(graph, source_node, "weight"), _just(graph, source_node), search, "pos long, id long"), "path")
     if not found.limit(1).count():
         raise ValueError(f"no path from {source_node} to {target_node}")
     return Vector(found, value="id")

@@ -51,3 +51,19 @@ def test_random_walk_takes_the_edges_of_a_node_in_their_order(spark, start):
     met, used = walked(near, range(8), 40, start, 7)
     got = algos.subgraph.sample.random_walk(graph(spark, pairs, directed=False, nodes=[0, 6, 7]), num_steps=40, start_node=start, seed=7)
     assert ids(got) == met and edges(got) == used
+
+
+def test_searches_on_five_million_edges(dense):
+    tree = algos.traversal.dfs_tree(dense, 1).df.toPandas()
+    assert dict(zip(tree.id, tree.value, strict=True)) == {1: 1, 0: 1, 2: 0} | {i: i - 1 for i in range(3, N)}
+    assert algos.traversal.dfs_iter(dense, 1).to_list() == [1, 0, *range(2, N)]
+    assert algos.traversal.astar_search(dense, 5, N - 1, lambda n: 0).to_list() == list(range(5, N))
+
+
+def test_astar_closes_nodes_at_their_first_visit(spark):
+    """A guess that misleads: node 2 is closed by the dearer way before the cheaper one is found."""
+    g = graph(spark, [(0, 1, 1), (0, 2, 9), (1, 2, 1), (2, 3, 1), (3, 4, 1)])
+    assert algos.traversal.astar_search(g, 0, 4, lambda n: 100 if n == 1 else 0).to_list() == [0, 2, 3, 4]
+    with pytest.raises(ValueError):
+        algos.traversal.astar_search(g, 4, 0, lambda n: 0)
+    assert algos.traversal.dfs_iter(g, 4).to_list() == [4]
