@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from graphlane.functions.lots import chance, drawn, lot
 from graphlane.operators.clustering import oriented
 from graphlane.plans.lists import Lists, batched, with_lists
-from graphlane.plans.matching import same_structure
+from graphlane.plans.matching import occurs
 from graphlane.plans.tables import Parts, dropped, written
 from graphlane.registry import algorithm
 from graphlane.types import Graph, NodeSet
@@ -100,7 +100,7 @@ def subisomorphic(graph: Graph, subgraph: Graph) -> bool:
         return False
     if subgraph.nodes.count() > graph.nodes.count() or subgraph.edges.count() > graph.edges.count():
         return False
-    return same_structure(subgraph, graph, whole=False)
+    return occurs(subgraph, graph)
 
 
 def _share(p: float) -> None:

@@ -171,5 +171,5 @@ def isomorphic(g1: Graph, g2: Graph) -> bool:
 
     if histogram(g1).exceptAll(histogram(g2)).limit(1).count():
         return False
-    return same_structure(g1, g2, whole=True)
+    return same_structure(g1, g2)
 

@@ -1,12 +1,16 @@
 """Searches, walks and joins beyond what one task can hold."""
 
+import random
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from graphlane import Graph, algos
 from graphlane.functions.lots import drawn
+from graphlane.plans import matching
 from graphlane.plans.tables import written
-from tests.graph.util import edges, graph, ids, values
+from tests.graph.util import edges, graph, ids
 
 N = 2300
 
@@ -67,3 +71,28 @@ def test_astar_closes_nodes_at_their_first_visit(spark):
     with pytest.raises(ValueError):
         algos.traversal.astar_search(g, 4, 0, lambda n: 0)
     assert algos.traversal.dfs_iter(g, 4).to_list() == [4]
+
+
+@pytest.mark.parametrize("back", [0, 1])
+def test_circle_among_more_than_a_million_edges(spark, back):
+    """Edges to the next twelve ids make no circle, with one back that is walked both ways neither; with a longer one they do."""
+    steps = spark.range(100_000).select(F.col("id").alias("src"), F.explode(F.sequence(F.col("id") + 1, F.col("id") + 12)).alias("dst"))
+    more = spark.createDataFrame([(70_001, 70_000), (90_020, 90_000)][: 1 + back], "src long, dst long")
+    g = Graph(spark.range(100_012), written(steps.unionByName(more), "steps"))
+    assert algos.subgraph.subisomorphic(g, graph(spark, [(0, 1), (1, 2), (2, 0)])) == bool(back)
+
+
+PATTERNS = [([(0, 1), (1, 2)], []), ([(0, 1), (1, 0), (1, 2)], []), ([(0, 1), (1, 2), (2, 0), (0, 0)], []), ([(0, 1), (2, 3)], []), ([(0, 1), (1, 2), (2, 3), (3, 0)], []), ([(0, 0)], [1, 2])]
+
+
+@pytest.mark.parametrize("directed", [True, False])
+@pytest.mark.parametrize("pattern, alone", PATTERNS)
+def test_small_matches_are_those_of_backtracking(spark, monkeypatch, directed, pattern, alone):
+    monkeypatch.setattr(matching, "SLICE", 8)
+    rng = random.Random(len(pattern) + 10 * directed)
+    pattern = pattern if directed else sorted({tuple(sorted(e)) for e in pattern})
+    for share in (0.25, 0.6):
+        large = [(a, b) for a in range(6) for b in range(6) if (directed or a <= b) and rng.random() < share]
+        want = matching.find_match(*(matching._adjacency(pd.DataFrame([(n, None) for n in nodes] + list(e), columns=["src", "dst"]), directed) for nodes, e in (({*alone, *sum(pattern, ())}, pattern), (range(6), large))), False)
+        got = matching.occurs(graph(spark, pattern, directed, alone), graph(spark, large, directed, range(6)))
+        assert got == want
