@@ -24,6 +24,8 @@ from graphlane.types import BipartiteGraph, EdgeMap, EdgeSet, Graph, Matrix, Nod
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: Lines whose pairs a task holds. Spark's own number of partitions would let a task's share grow with the table.
+LINES = 1 << 19
 
 
 def query(func: Query) -> Query:
@@ -40,6 +42,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def parts_of_lines(self) -> int:
+        return max(self.spark.sparkContext.defaultParallelism, -(-self.lineitem.count() // LINES))
+
     def nations(self) -> NodeSet:
         return NodeSet(self.nation, "n_nationkey", unique=True)
 
@@ -57,9 +62,10 @@ class Tables:
         return Graph(g.nodes, edges, False, False)
 
     def together(self) -> Graph:
-        lines = self.lineitem.select("l_orderkey", "l_partkey").distinct()
+        n = self.parts_of_lines()
+        lines = self.lineitem.select("l_orderkey", "l_partkey").repartition(n, "l_orderkey").distinct()
         pairs = lines.select("l_orderkey", F.col("l_partkey").alias("src")).join(lines.select("l_orderkey", F.col("l_partkey").alias("dst")), "l_orderkey").where("src < dst")
-        edges = pairs.groupBy("src", "dst").agg(F.count("*").alias("weight")).where("weight >= 2")
+        edges = pairs.repartition(n, "src", "dst").groupBy("src", "dst").agg(F.count("*").alias("weight")).where("weight >= 2")
         return Graph(self.part.select(F.col("p_partkey").alias("id"), F.col("p_size").alias("value")), written(edges, "together"), False, False)
 
     def customers_and_suppliers(self) -> BipartiteGraph:

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from graphlane import Graph, algos
+from graphlane import Graph, algos, queries
 from graphlane.functions.lots import drawn
 from graphlane.plans import matching
 from graphlane.plans.tables import written
@@ -96,3 +96,10 @@ def test_small_matches_are_those_of_backtracking(spark, monkeypatch, directed, p
         want = matching.find_match(*(matching._adjacency(pd.DataFrame([(n, None) for n in nodes] + list(e), columns=["src", "dst"]), directed) for nodes, e in (({*alone, *sum(pattern, ())}, pattern), (range(6), large))), False)
         got = matching.occurs(graph(spark, pattern, directed, alone), graph(spark, large, directed, range(6)))
         assert got == want
+
+
+def test_pairs_of_parts_are_counted_in_more_tasks_as_lines_grow(spark, monkeypatch):
+    monkeypatch.setattr(queries, "LINES", 500, raising=False)
+    made = queries.Tables(spark, "/root/testdata/sf0.001").together().edges
+    counts = [r[0] for r in made.groupBy(F.input_file_name()).count().select("count").collect()]
+    assert len(counts) > 6 and max(counts) < sum(counts) / 3
