@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from graphlane import Graph, algos, queries
+from graphlane import BipartiteGraph, EdgeSet, Graph, algos, queries
 from graphlane.functions.lots import drawn
 from graphlane.plans import matching
 from graphlane.plans.tables import written
@@ -103,3 +103,37 @@ def test_pairs_of_parts_are_counted_in_more_tasks_as_lines_grow(spark, monkeypat
     made = queries.Tables(spark, "/root/testdata/sf0.001").together().edges
     counts = [r[0] for r in made.groupBy(F.input_file_name()).count().select("count").collect()]
     assert len(counts) > 6 and max(counts) < sum(counts) / 3
+
+
+def shuffled(df):
+    """Rows that a query has written to shuffles."""
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            if kind == "ShuffleExchangeExec":
+                found += node.metrics().apply("shuffleRecordsWritten").value()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_projection_shuffles_fewer_rows_than_it_gives(spark):
+    ends = spark.range(60 * 600).select((-1 - F.col("id") % 60).alias("source"), F.expr("id div 60").alias("target"))
+    made = algos.bipartite.graph_projection(BipartiteGraph(EdgeSet(ends, is_directed=False, check=False), check=False), 1).edges
+    assert len(made.collect()) == 600 * 599 // 2 and shuffled(made) < 60_000
+
+
+@pytest.mark.parametrize("side", [0, 1])
+def test_projection_of_ids_around_blocks_of_64(spark, side):
+    rng = random.Random(side)
+    keys = [-(2**63), -129, -128, -65, -64, -63, -1, 0, 1, 62, 63, 64, 65, 127, 128, 2**63 - 1]
+    pairs = {(rng.choice(keys), 10**6 + rng.randrange(8)) for _ in range(40)}
+    want = {(a, b) for a, via in pairs for b, other in pairs if via == other and a < b}
+    pairs = [p if side == 0 else p[::-1] for p in pairs]
+    got = algos.bipartite.graph_projection(BipartiteGraph(EdgeSet(spark.createDataFrame(pairs, "source long, target long"), is_directed=False, check=False), check=False), side)
+    assert edges(got) == want and got.edges.count() == len(want)
